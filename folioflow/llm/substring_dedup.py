@@ -180,13 +180,13 @@ def repeated_spans(texts: DataFrame, *, window: int = 35, broadcast_bytes: int =
     whole = texts.select(*_keys(F.col("_text")), "_text")
     found = whole.join(beside(marked, 40 + 5 * F.size("at")), ["t1", "t2"])
     found = found.select("id", _settle_udf(window)("_text", "at", "interior").alias("s")).select("id", "s.*")
-    found = scratch.table("settled", found)
+    # copies of a text give the same row, which is kept once
+    found = scratch.table("settled", found.groupBy("id").agg(*(F.first(c).alias(c) for c in ("spans", "starts", "w"))))
     windows = found.select("id", F.inline(F.arrays_zip("w", "starts")))
-    # copies of a text repeat the same (id, start), which counts once
     windows = windows.select("id", "w", F.col("starts").alias("at"), F.xxhash64("id", "starts").alias("o"))
     again = windows.groupBy("w").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi").select("w")
     starts = windows.join(again, "w").groupBy("id").agg(F.collect_set("at").alias("starts"))
-    spans = found.select("id", "spans").dropDuplicates(["id"]).join(starts, "id", "left")
+    spans = found.select("id", "spans").join(starts, "id", "left")
     part = spans.select("id", _merge_udf(window)("spans", "starts").alias("spans"))
     out = rows.select("id", "t1", "t2", "n", "copies").join(part, "id", "left")
     all_of_it = F.array(F.lit(0), F.col("n"))
