@@ -34,6 +34,8 @@ from folioflow.session import ship
 #: The byte-level pre-tokenizer's pattern, with white space as Unicode's White_Space property.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _NEVER = 1 << 60
+_HELD = 150_000  # what a worker's memos hold before they start over
+_PREFIX = 7  # bytes
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,8 +72,9 @@ class TokenizationAutomaton:
             self.born[t], self.left[t], self.right[t], alive[t] = step, u, v, True
             self.gadgets[u << 32 | v] = step
         self.arcs = {self.labels[t]: t for t in range(size) if alive[t]}
-        self.longest = max(map(len, self.arcs), default=0)
-        self.known: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}  # pairs tested
+        self.prefixes: dict[bytes, int] = {}  # the last arc of short prefixes, which words share
+        self.ends: dict[bytes, int] | None = None
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the state after an arc ``a`` has an arc ``b``.
@@ -105,29 +108,37 @@ class TokenizationAutomaton:
                 state = self.origin[state]
 
     def encode_word(self, word: bytes) -> list[int]:
-        arcs, known = self.arcs, self.known
-        if (whole := arcs.get(word)) is not None:
+        if (whole := self.arcs.get(word)) is not None:
             return [whole]
-        n, longest = len(word), self.longest
+        known, prefixes, ends = self.known, self.prefixes, self._ends()
+        n = len(word)
         last = [-1] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                arc = arcs.get(word[start:end])
-                if arc is None:
-                    continue
+            if end <= _PREFIX and (arc := prefixes.get(word[:end])) is not None:
+                last[end] = arc
+                continue
+            found = []  # arcs that end here, short ones first
+            start = end - 1
+            while start >= 0 and (arc := ends.get(word[start:end])) is not None:
+                if arc >= 0:
+                    found.append((start, arc))
+                start -= 1
+            for start, arc in reversed(found):
                 if start:
-                    if (before := last[start]) < 0:
-                        continue
-                    pair = before << 32 | arc
+                    pair = last[start] << 32 | arc
                     fits = known.get(pair)
                     if fits is None:
-                        if len(known) > 400_000:
+                        if len(known) > _HELD:
                             known.clear()
-                        fits = known[pair] = self.follows(before, arc)
+                        fits = known[pair] = last[start] >= 0 and self.follows(last[start], arc)
                     if not fits:
                         continue
                 last[end] = arc
                 break
+            if end <= _PREFIX:
+                if len(prefixes) > _HELD:
+                    prefixes.clear()
+                prefixes[word[:end]] = last[end]
         out = []
         while n:
             arc = last[n]
@@ -137,21 +148,34 @@ class TokenizationAutomaton:
             n -= len(self.labels[arc])
         return out[::-1]
 
+    def _ends(self) -> dict[bytes, int]:
+        """Every end of a label: its arc, or -1 if it is no label itself."""
+        if self.ends is None:
+            self.ends = {label[k:]: -1 for label in self.arcs for k in range(1, len(label))} | self.arcs
+        return self.ends
+
+    def __getstate__(self):
+        return self.__dict__ | {"ends": None, "known": {}, "prefixes": {}}
+
 
 class _Encoded(dict):
-    """Word to packed ids. Starts over when full; long words are not held."""
+    """Word to packed ids, in two generations: when the young one is full the old one goes and the young one grows old,
+    so that words in use stay and memory is bounded. Long words are not held."""
 
-    def __init__(self, automaton: TokenizationAutomaton, limit: int = 500_000):
+    def __init__(self, automaton: TokenizationAutomaton, generation: int = 160_000):
         super().__init__()
-        self.automaton, self.limit = automaton, limit
+        self.automaton, self.generation, self.old = automaton, generation, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.automaton.encode_word(word.encode("utf-8", "surrogatepass")))
-        if len(word) > 64:
-            return ids.tobytes()
-        if len(self) >= self.limit:
+        value = self.old.get(word)
+        if value is None:
+            value = array("I", self.automaton.encode_word(word.encode("utf-8", "surrogatepass"))).tobytes()
+            if len(word) > 64:
+                return value
+        if len(self) >= self.generation:
+            self.old = self.copy()
             self.clear()
-        value = self[word] = ids.tobytes()
+        self[word] = value
         return value
 
 
@@ -200,16 +224,20 @@ class Tokenizer:
         return b"".join(array("I", [self.special[part]]).tobytes() if k % 2 else b"".join(map(encoded.__getitem__, words(part))) for k, part in enumerate(cut.split(text)))
 
     def decode(self, ids: bytes | None) -> bytes:
-        """The labels of the ids' arcs, as UTF-8."""
-        if not ids:
-            return b""
-        numbers, n = np.frombuffer(ids, "<u4"), len(self.emits)
-        out = b"".join(map(self.emits.__getitem__, (numbers if numbers.max() < n else numbers[numbers < n]).tolist()))
-        try:
-            out.decode()
-        except UnicodeDecodeError:
-            return out.decode("utf-8", "replace").encode()
-        return out
+        return emit(self.emits, ids)
+
+
+def emit(labels: list[bytes], ids: bytes | None) -> bytes:
+    """The labels of the ids' arcs, as UTF-8."""
+    if not ids:
+        return b""
+    numbers, n = np.frombuffer(ids, "<u4"), len(labels)
+    out = b"".join(map(labels.__getitem__, (numbers if numbers.max() < n else numbers[numbers < n]).tolist()))
+    try:
+        out.decode()
+    except UnicodeDecodeError:
+        return out.decode("utf-8", "replace").encode()
+    return out
 
 
 def _encoder(shared):
@@ -217,7 +245,7 @@ def _encoder(shared):
     def encode_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = shared.value.encode
         for texts in batches:
-            yield pa.array([encode(t) for t in texts.to_pylist()], pa.binary())
+            yield pa.array((encode(t.as_py()) for t in texts), pa.binary(), size=len(texts))
 
     return encode_text.asNondeterministic()
 
@@ -225,27 +253,31 @@ def _encoder(shared):
 def _decoder(shared):
     @F.arrow_udf("string")
     def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decode = shared.value.decode
+        labels = shared.value
         for ids in batches:
-            yield pa.array([decode(i) for i in ids.to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.array((emit(labels, i.as_py()) for i in ids), pa.binary(), size=len(ids)).cast(pa.string())
 
     return decode_ids.asNondeterministic()
 
 
 def share(spark: SparkSession, tokenizer: Tokenizer | str):
-    """Broadcast a tokenizer (its size is that of its vocabulary); a string is the path of its file."""
+    """Broadcast a tokenizer, for encoding, and its labels, for decoding; a string is the path of its file.
+
+    Their size is that of the vocabulary.
+    """
     ship(spark)
-    return spark.sparkContext.broadcast(Tokenizer.from_file(tokenizer) if isinstance(tokenizer, str) else tokenizer)
+    whole = Tokenizer.from_file(tokenizer) if isinstance(tokenizer, str) else tokenizer
+    return spark.sparkContext.broadcast(whole), spark.sparkContext.broadcast(whole.emits)
 
 
 def encode(df: DataFrame, shared, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text_col`` in ``out_col``, as packed little-endian unsigned 32-bit integers."""
-    return df.withColumn(out_col, _encoder(shared)(F.col(text_col)))
+    return df.withColumn(out_col, _encoder(shared[0])(F.col(text_col)))
 
 
 def decode(df: DataFrame, shared, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids_col`` in ``out_col``."""
-    return df.withColumn(out_col, _decoder(shared)(F.col(ids_col)))
+    return df.withColumn(out_col, _decoder(shared[1])(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, tokenizer: Tokenizer | str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
