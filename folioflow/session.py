@@ -48,10 +48,10 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        sc = spark.sparkContext
+        base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_folioflow_scratch", None)
         if not base:  # only where the cluster names none, as in tests
-            base = tempfile.mkdtemp(prefix="folioflow-checkpoints-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            base = sc._folioflow_scratch = tempfile.mkdtemp(prefix="folioflow-checkpoints-")
         self.spark = spark
         self.root = f"{base.rstrip('/')}/folioflow-{uuid.uuid4().hex}"
         self._path("").getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(self._path(""))
