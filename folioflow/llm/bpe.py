@@ -162,7 +162,7 @@ class _Encoded(dict):
     """Word to packed ids, in two generations: when the young one is full the old one goes and the young one grows old,
     so that words in use stay and memory is bounded. Long words are not held."""
 
-    def __init__(self, automaton: TokenizationAutomaton, generation: int = 160_000):
+    def __init__(self, automaton: TokenizationAutomaton, generation: int = 120_000):
         super().__init__()
         self.automaton, self.generation, self.old = automaton, generation, {}
 
@@ -260,6 +260,18 @@ def _decoder(shared):
     return decode_ids.asNondeterministic()
 
 
+def _round_trip_udf(shared):
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def encode_and_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode, labels = shared.value.encode, shared.value.emits
+        for texts in batches:
+            ids = pa.array((encode(t.as_py()) for t in texts), pa.binary(), size=len(texts))
+            decoded = pa.array((emit(labels, i.as_py()) for i in ids), pa.binary(), size=len(ids)).cast(pa.string())
+            yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
+
+    return encode_and_decode.asNondeterministic()
+
+
 def share(spark: SparkSession, tokenizer: Tokenizer | str):
     """Broadcast a tokenizer, for encoding, and its labels, for decoding; a string is the path of its file.
 
@@ -283,8 +295,8 @@ def decode(df: DataFrame, shared, ids_col: str = "ids", out_col: str = "decoded"
 def round_trip(docs: DataFrame, tokenizer: Tokenizer | str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, from its encoded ids and its decoded text."""
     shared = share(docs.sparkSession, tokenizer)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = decode(encode(rows, shared), shared)
+    # one pass for both, so that ids need not travel to Python again
+    rows = docs.select(F.col(id_col).alias("doc_id"), _round_trip_udf(shared[0])(F.col(text_col).cast("string")).alias("s")).select("doc_id", "s.*")
     return rows.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),

@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.words import WordHash, byte_list, mix64, window_hashes
+from folioflow.llm.words import HASHES, byte_list, mix64, window_hashes
 from folioflow.session import Scratch, ship
 
-_hash = WordHash()
 
 
 def selected(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +93,7 @@ def _edges_udf(window: int):
             n, at, e, code, offsets = [], [], [], [], [0]
             for text in byte_list(texts):
                 words = (text or b"").split()
-                places, hashes, codes = edges_of(_hash.of(words), window) if len(words) >= window else (np.empty(0, np.int64),) * 3
+                places, hashes, codes = edges_of(HASHES.of(words), window) if len(words) >= window else (np.empty(0, np.int64),) * 3
                 n.append(len(words))
                 at.append(places.astype(np.int32))
                 e.append(hashes.view(np.int64))
@@ -113,7 +112,7 @@ def _settle_udf(window: int):
         for texts, places, marks in batches:
             spans, starts, hashes = [], [], []
             for text, at, inside in zip(byte_list(texts), places.to_pylist(), marks.to_pylist()):
-                h = _hash.of(text.split())
+                h = HASHES.of(text.split())
                 done, todo = settle(h, window, np.array(at, np.int64), np.array(inside, bool))
                 spans.append(done)
                 starts.append(todo)

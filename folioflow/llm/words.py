@@ -34,7 +34,7 @@ def byte_list(texts: pa.Array) -> list[bytes | None]:
 class WordHash(dict):
     """Word to 64-bit hash. Starts over when ``limit`` words are held, so a worker's memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -48,6 +48,10 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Shared by the operators that run in one worker.
+HASHES = WordHash()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
