@@ -80,11 +80,12 @@ def posteriors(docs: DataFrame, model: DomainClassifier, *, id_col: str = "doc_i
     return rows.select("doc_id", "n_tokens", *((F.col(f"e_{i}") / norm).alias(f"p_{i}") for i in k))
 
 
-def fit_rates(members: DataFrame, targets: list[float] | None, *, total: float | str = "same", floor: float = 0.0, tolerance: float = 1e-6, max_steps: int = 40) -> tuple[Column, dict]:
+def fit_rates(members: DataFrame, targets: list[float] | None, *, total: float | str = "same", floor: float = 0.0, tolerance: float = 1e-6, still: float = 1e-4, max_steps: int = 40) -> tuple[Column, dict]:
     """The rate of each row of ``members`` (n_tokens, p_k) as a column, and a report.
 
     ``targets``: each domain's share of the mixed tokens; None keeps the shares as they are. ``total``: the mixed
-    tokens; "same" as now, "keep" so many that no domain shrinks.
+    tokens; "same" as now, "keep" so many that no domain shrinks. Steps end when all totals are within ``tolerance`` of
+    their goals, or, where ``floor`` keeps them off, when none moves by more than the share ``still`` of its goal.
     """
     k = range(len([c for c in members.columns if c.startswith("p_")]))
 
@@ -106,7 +107,9 @@ def fit_rates(members: DataFrame, targets: list[float] | None, *, total: float |
         gradient = [(n - g) / m if m > 0 else 0.0 for n, g, m in zip(now, goal, mass)]
         move = sum((F.col(f"p_{i}") * gradient[i] for i in k), F.lit(0.0))
         rate = F.greatest(F.lit(floor), rate - move)
-        now, steps = totals(rate), steps + 1
+        last, now, steps = now, totals(rate), steps + 1
+        if floor > 0 and all(abs(n - l) <= still * max(g, 1e-9 * tokens) for n, l, g in zip(now, last, goal)):
+            break
     return rate, {"before": mass, "goal": goal, "after": now, "steps": steps, "off": off()}
 
 

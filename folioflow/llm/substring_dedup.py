@@ -9,8 +9,8 @@ Wanted are the words covered by a window of ``window`` consecutive words whose s
    nonbranching path. Joins bring repeated edges and this mark back to their source coordinates; runs of interior edges
    compact to one path occurrence, and all windows inside it repeat, because every occurrence of an interior edge goes
    along the whole run.
-3. *Verification.* Windows with a repeated edge that no path covers, those around branches and text ends, are compared
-   themselves: their hashes are counted over all source coordinates.
+3. *Verification.* Windows with a repeated edge that is not interior, or that no path covers, those around branches and
+   text ends, are compared themselves: their hashes are counted over all source coordinates.
 4. The union of both is removed, judged on the input texts.
 
 Equal texts are one text with a count: with two or more copies and at least one window, all of it repeats. Edges, windows
@@ -72,7 +72,8 @@ def settle(h: np.ndarray, window: int, at: np.ndarray, interior: np.ndarray) ->
         if b - a >= window:
             spans += [int(a), int(b)]
             settled[a : b - window + 1] = True
-    return spans, np.flatnonzero(repeated[chosen] & ~settled)
+    # a window whose own edge is interior is settled wherever it occurs; one that only ends in a path here may not be
+    return spans, np.flatnonzero(repeated[chosen] & ~(settled & inside[chosen]))
 
 
 def merged(spans: list[int], starts: list[int], window: int) -> list[int]:
