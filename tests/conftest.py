@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from folioflow.session import local_session
@@ -10,7 +12,7 @@ def spark():
     yield session
 
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
