@@ -153,7 +153,19 @@ def _keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(5), text).alias("t2")]
 
 
-def repeated_spans(texts: DataFrame, *, window: int = 35, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def matched(rows: DataFrame, counted: DataFrame, key: str, total: int, hot_keys: int) -> DataFrame:
+    """``rows`` joined with ``counted`` (``key``, unique; ``rows``: how many of ``rows`` hold it; any other columns).
+
+    Keys that hold more than one in ``hot_keys`` of the ``total`` rows, fewer than ``hot_keys`` of them, go to all
+    executors, so that a passage which a third of all texts share isn't dealt to one task. The others are dealt out.
+    """
+    hot = F.col("rows") * hot_keys > total
+    here = rows.join(F.broadcast(counted.where(hot)), key)
+    rest = rows.join(F.broadcast(counted.where(hot).select(key)), key, "left_anti").join(counted.where(~hot), key)
+    return here.unionByName(rest).drop("rows")
+
+
+def repeated_spans(texts: DataFrame, *, window: int = 35, broadcast_bytes: int = 64 << 20, hot_keys: int = 1024) -> DataFrame:
     """(t1, t2, spans): the word spans that repeat, for each distinct text of column ``_text`` that has any."""
     spark = texts.sparkSession
     ship(spark)
@@ -165,9 +177,13 @@ def repeated_spans(texts: DataFrame, *, window: int = 35, broadcast_bytes: int =
 
     single = F.col("copies") == 1
     edges = rows.select(F.inline(F.arrays_zip("e", "code")), "copies")
-    edges = edges.groupBy("e").agg(F.sum("copies").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi")).where("n > 1")
-    places = rows.select("id", F.inline(F.arrays_zip("e", "at")))
-    places = places.join(edges.select("e", (F.col("lo") == F.col("hi")).alias("interior")), "e")
+    edges = edges.groupBy("e").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("code").alias("lo"), F.max("code").alias("hi")).where("n > 1")
+    edges = scratch.table("edges", edges.select("e", "rows", (F.col("lo") == F.col("hi")).alias("interior")))
+
+    def entries(table: DataFrame, column: str) -> int:
+        return table.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+
+    places = matched(rows.select("id", F.inline(F.arrays_zip("e", "at"))), edges, "e", entries(rows, "e"), hot_keys)
     places = places.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "interior"))).alias("p"))  # as many as a text has edges
     marked = rows.select("id", "t1", "t2", "copies").join(places, "id").select("id", "t1", "t2", F.col("p.at").alias("at"), F.col("p.interior").alias("interior"))
     marked = scratch.table("marked", marked)
@@ -184,25 +200,26 @@ def repeated_spans(texts: DataFrame, *, window: int = 35, broadcast_bytes: int =
     found = scratch.table("settled", found.groupBy("id").agg(*(F.first(c).alias(c) for c in ("spans", "starts", "w"))))
     windows = found.select("id", F.inline(F.arrays_zip("w", "starts")))
     windows = windows.select("id", "w", F.col("starts").alias("at"), F.xxhash64("id", "starts").alias("o"))
-    again = windows.groupBy("w").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi").select("w")
-    starts = windows.join(again, "w").groupBy("id").agg(F.collect_set("at").alias("starts"))
+    again = windows.groupBy("w").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("w", "rows")
+    again = scratch.table("again", again)
+    starts = matched(windows.select("id", "w", "at"), again, "w", entries(found, "w"), hot_keys).groupBy("id").agg(F.collect_set("at").alias("starts"))
     spans = found.select("id", "spans").join(starts, "id", "left")
     part = spans.select("id", _merge_udf(window)("spans", "starts").alias("spans"))
     out = rows.select("id", "t1", "t2", "n", "copies").join(part, "id", "left")
     all_of_it = F.array(F.lit(0), F.col("n"))
     out = out.select("t1", "t2", F.when(single, F.col("spans")).otherwise(all_of_it).alias("spans")).where("size(spans) > 0")
     out = scratch.table("spans", out)
-    scratch.drop("texts", "marked", "settled")
+    scratch.drop("texts", "edges", "marked", "settled", "again")
     return out
 
 
-def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35, broadcast_bytes: int = 64 << 20, hot_keys: int = 1024) -> DataFrame:
     """All rows of ``docs`` as they are, with a struct ``repeats``: n (words), removed, kept (the words left, joined by
     one space) and spans (removed word spans, flat)."""
     if window < 2:
         raise ValueError("a window has two words at least")
     text = F.col(text_col).cast("string")
-    spans = repeated_spans(docs.select(text.alias("_text")).where("_text IS NOT NULL"), window=window, broadcast_bytes=broadcast_bytes)
+    spans = repeated_spans(docs.select(text.alias("_text")).where("_text IS NOT NULL"), window=window, broadcast_bytes=broadcast_bytes, hot_keys=hot_keys)
     size = spans.agg(F.coalesce(F.sum(32 + 4 * F.size("spans")), F.lit(0))).first()[0]
     spans = spans.withColumnsRenamed({"t1": "_t1", "t2": "_t2", "spans": "_spans"})
     keyed = docs.withColumns({"_d1": _keys(text)[0], "_d2": _keys(text)[1]})

@@ -268,8 +268,8 @@ def test_toxicity_on_held_out_labels(spark):
 @pytest.mark.parametrize("window", [35, 9, 2])
 def test_repeats(docs, rows, none, window):
     want = [(i, n, gone, kept.decode()) for (i, _), (n, gone, kept) in zip(rows, brute.repeats([t for _, t in rows], window))]
-    for size in (1 << 26, 0):
-        out = substring_dedup.remove_repeats(docs, window=window, broadcast_bytes=size)
+    for size, hot_keys in ((1 << 26, 1024), (0, 30), (0, 1)):  # all, some and no repeated keys are sent to all executors
+        out = substring_dedup.remove_repeats(docs, window=window, broadcast_bytes=size, hot_keys=hot_keys)
         assert out.columns == [*docs.columns, "repeats"]
         same([(r.doc_id, r.repeats.n, r.repeats.removed, r.repeats.kept) for r in out.collect()], want)
     assert substring_dedup.remove_repeats(none).count() == 0
