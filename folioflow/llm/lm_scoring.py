@@ -2,13 +2,16 @@
 
 *Blocks.* Texts are read once into blocks of tokens: a dictionary of word hashes and numbers into it. Later passes work
 on blocks. *Unigrams.* Each block's dictionary, with its training counts, is dealt out by hash into shards; a shard adds
-up and answers each block with the totals of the words it asked for. So exact counts of all words reach every block, no
-table of all words exists in one place, and a frequent word costs one entry a block. *N-grams.* The most frequent words
-get numbers (``vocabulary`` at most); n-grams of numbers in training texts are counted over all blocks, a longer one only
-if its two shorter ones are kept. Counts cover all training texts; the trie keeps the most frequent, ``max_ngrams`` a level
-at most, which bounds what is sent to the executors. *Scores.* Unigrams are smoothed by absolute discounting, with the
-discounted mass for unseen words, as one event; n-grams by discounting and back-off over the quantised lower order, so
-that probabilities over all events add up to one, or slightly less by rounding down. The trie is memory-mapped there.
+up, numbers its words and answers each block with the totals and numbers of the words it asked for. So exact counts of all
+words reach every block, no table of all words exists in one place, and a frequent word costs one entry a block.
+*N-grams.* Level by level, a block deals its distinct n-grams, with their training counts and their probability one word
+shorter, out by context; a shard adds up, builds the trie of its contexts and answers with probabilities and with the
+numbers of the nodes, which are the contexts of the next level. Every word is numbered and every n-gram of training texts
+is kept, once or often seen, so the model grows with the corpus and nothing of it is sent to all executors. The n-grams of
+a context with over a 1024th of all tokens are dealt out one by one, and its back-off weight is added up from the
+shards. *Scores.* Unigrams are smoothed by absolute discounting, with the discounted mass for unseen words, as one event;
+n-grams by discounting and back-off, so that probabilities over all events add up to one, or slightly less by rounding
+down to the codebook of the shard.
 
 Words are compared by 64-bit hashes. A null or empty text is its end token. A null id belongs to the fold of the empty
 text. Repeated rows count as often as they are there. Without training texts every token is unseen, with probability 1.
@@ -16,26 +19,28 @@ text. Repeated rows count as often as they are there. Without training texts eve
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 
-from pyspark import SparkFiles, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm.elias_fano import Trie, codebook, quantised
-from folioflow.llm.words import byte_list, fold
+from folioflow.llm.words import byte_list, fold, mix64
 from folioflow.session import Scratch, ship
 
 #: No word holds a space, so no word has this hash by construction.
 END = xxhash.xxh3_64_intdigest(b" end ")
-_BINS = 16  # of a histogram, for each doubling of the count
+_HOT = 1024
+_OFTEN = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64())]))
+_PARTS = pa.list_(pa.struct([("context", pa.int64()), ("taken", pa.float64()), ("shorter", pa.float64())]))
 
 
 class _Numbers(dict):
@@ -100,13 +105,8 @@ def _ask(bits: int):
     return run
 
 
-def _histogram(counts: np.ndarray) -> np.ndarray:
-    bins = np.floor(np.log2(np.maximum(counts, 1)) * _BINS).astype(np.int64)
-    return np.bincount(bins[counts > 0], minlength=64 * _BINS)
-
-
 def _answer(table: pa.Table) -> pa.Table:
-    """A shard's totals: an answer for each block, and one row with the distinct words."""
+    """A shard's totals and numbers: an answer for each block, and one row with what the shard holds."""
     blocks, words = table.column("block").to_pylist(), [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
     counts = np.concatenate([_unzip(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
     distinct, back = np.unique(np.concatenate(words), return_inverse=True)
@@ -114,200 +114,210 @@ def _answer(table: pa.Table) -> pa.Table:
     cut = np.cumsum([len(w) for w in words])[:-1]
     seen = totals[totals > 0].astype(np.int64)
     shard = table.column("shard")[0].as_py()
-    stats = [len(seen), int(seen.sum()), int((seen == 1).sum()), int((seen == 2).sum()), *_histogram(seen).tolist()]
-    answers = [_zip(a) for a in np.split(totals[back], cut)]
-    n = len(blocks)
+    stats = [len(seen), int(seen.sum()), int((seen == 1).sum()), int((seen == 2).sum()), len(distinct)]
+    n, often = len(blocks), np.flatnonzero(totals.astype(np.int64) * _HOT > seen.sum())  # those of all shards are among them
     return pa.table({
-        "shard": pa.array([shard] * (n + 1), pa.int32()), "block": pa.array([*blocks, None], pa.int64()), "words": pa.array([None] * n + [distinct.tobytes()], pa.binary()),
-        "totals": pa.array([*answers, _zip(totals)], pa.binary()), "stats": pa.array([None] * n + [stats], pa.list_(pa.int64())),
+        "shard": pa.array([shard] * (n + 1), pa.int32()), "block": pa.array([*blocks, None], pa.int64()), "a": pa.array([*(_zip(x) for x in np.split(totals[back], cut)), None], pa.binary()),
+        "b": pa.array([*(_zip(x) for x in np.split(back.astype(np.uint32), cut)), None], pa.binary()), "stats": pa.array([None] * n + [stats], pa.list_(pa.int64())),
+        "often": pa.array([None] * n + [[{"node": int(i), "n": int(totals[i])} for i in often]], _OFTEN),
     })
 
 
-def _most(histogram: np.ndarray, limit: int) -> int:
-    """The smallest histogram bin such that at most ``limit`` counts lie in it or above."""
-    above = np.cumsum(histogram[::-1])[::-1]
-    return int(np.flatnonzero(np.r_[above, 0] <= limit)[0])
-
-
-def _bin_of(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(counts, 1)) * _BINS).astype(np.int64)
-
-
-def _keep_words(least: int):
+@dataclass
+class _Model:
+    """What all blocks and shards know: sizes, where a shard's numbers begin, and the hot contexts of each level."""
+
+    bits: int
+    shards: int
+    words: int  # all distinct words; this number is the begin mark's
+    total: int
+    types: int
+    begins: int
+    discount: float
+    first: list[np.ndarray]  # of each level, by shard
+    hot: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # contexts of each level from the first, in order, and how often each was followed
+    bow: list[np.ndarray] = field(default_factory=list)  # their log10 back-off weights
+
+    def find_hot(self, level: int, context: np.ndarray) -> np.ndarray:
+        """Place of each context among the hot ones, or -1."""
+        kept = self.hot[level - 1][0]
+        if not len(kept):
+            return np.full(len(context), -1)
+        at = np.minimum(np.searchsorted(kept, context), len(kept) - 1)
+        return np.where(kept[at] == context, at, -1)
+
+    def shard_of(self, level: int, keys: np.ndarray) -> np.ndarray:
+        context = keys // (self.words + 1)
+        dealt = np.where(self.find_hot(level, context) >= 0, keys, context)
+        return (mix64(dealt.astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
+
+
+@dataclass
+class _Walk:
+    """A block's tokens with a begin mark before each text, after some levels are answered."""
+
+    counts: np.ndarray  # of the dictionary's words
+    unigram: np.ndarray
+    place: np.ndarray  # where tokens are, not begin marks
+    low: np.ndarray  # log10 of each token in the longest context so far
+    keys: np.ndarray  # distinct n-grams of the level that is not answered yet
+    back: np.ndarray  # token to n-gram
+    ok: np.ndarray  # tokens that have one
+
+
+def _walk(model: _Model, row: dict, upto: int) -> _Walk:
+    """Go through the levels whose answers ``row`` holds; the n-grams of level ``upto`` are the ones to ask for."""
+    answers: list[list[dict]] = [[] for _ in range(upto)]
+    for answer in sorted(row["answers"], key=lambda x: x["shard"]):
+        answers[answer["level"]].append(answer)
+    h, lengths, flat = np.frombuffer(row["words"], np.uint64), np.array(row["lengths"], np.int64), _unzip(row["tokens"], np.uint32)
+    shard = (h >> np.uint64(64 - model.bits)).astype(np.int64) if model.bits else np.zeros(len(h), np.int64)
+    order = np.argsort(shard, kind="stable")
+    counts, number = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+    counts[order] = np.concatenate([_unzip(x["a"], np.uint64) for x in answers[0]])
+    number[order] = np.concatenate([_unzip(x["b"], np.uint32).astype(np.int64) for x in answers[0]])
+    number += model.first[0][shard]
+    unigram = unigram_log10(counts, model.total, model.types, model.discount)
+
+    size = len(flat) + len(lengths)
+    starts = np.cumsum(lengths) - lengths + np.arange(len(lengths))
+    place = np.ones(size, bool)
+    place[starts] = False
+    words, low, nodes = np.full(size, model.words, np.int64), np.zeros(size), np.full(size, -1)
+    words[place], low[place] = number[flat], unigram[flat]
+    nodes[place] = np.where(counts > 0, number, -1)[flat]  # a context that no training text has leads nowhere
+    nodes[starts] = model.words if model.begins else -1
+    keys, back, ok = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(size, bool)
+    for level in range(1, upto + 1):
+        context = np.r_[-1, nodes[:-1]]
+        context[starts] = -1
+        ok = context >= 0
+        keys, back = np.unique(context[ok] * (model.words + 1) + words[ok], return_inverse=True)
+        nodes = np.full(size, -1)
+        if level < upto and len(keys):
+            shard = model.shard_of(level, keys)
+            order = np.argsort(shard, kind="stable")
+            logs, node = np.empty(len(keys)), np.full(len(keys), -1)
+            logs[order] = np.concatenate([_unzip(x["a"], np.float32) for x in answers[level]])
+            if answers[level][0]["b"] is not None:  # the nodes of the last level lead nowhere
+                node[order] = np.concatenate([_open_nodes(x["b"]) for x in answers[level]])
+                node[node >= 0] += model.first[level][shard[node >= 0]]
+            unseen = np.isnan(logs)
+            if unseen.any():
+                first = np.empty(len(keys))
+                first[back] = low[ok]
+                logs[unseen] = model.bow[level - 1][model.find_hot(level, keys[unseen] // (model.words + 1))] + first[unseen]
+            low[ok], nodes[ok] = logs[back], node[back]
+    return _Walk(counts, unigram, place, low, keys, back, ok)
+
+
+def _pack_nodes(node: np.ndarray) -> bytes:
+    """Node numbers in order, -1 among them."""
+    seen = node >= 0
+    return _zip(np.r_[np.frombuffer(np.int64(len(node)).tobytes(), np.uint8), np.packbits(seen), np.frombuffer(np.diff(node[seen], prepend=0).astype(np.uint32).tobytes(), np.uint8)])
+
+
+def _open_nodes(packed: bytes) -> np.ndarray:
+    raw = _unzip(packed, np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    cut = 8 + -(-n // 8)
+    out = np.full(n, -1, np.int64)
+    out[np.unpackbits(raw[8:cut], count=n).astype(bool)] = np.cumsum(np.frombuffer(raw[cut:].tobytes(), np.uint32).astype(np.int64))
+    return out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _ask_grams(model: _Model, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, totals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, c = np.frombuffer(words, np.uint64), _unzip(totals, np.uint64).astype(np.int64)
-                kept = (c > 0) & (_bin_of(c) >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), pa.array(c[kept])], names=["h", "c"])
-
-    return run
-
-
-class _Grams:
-    """Keys of n-grams: the node of the first n - 1 words, times the vocabulary, plus the last word's number.
-
-    The first level's nodes are the words themselves, with one number more for the begin of a text.
-    """
-
-    def __init__(self, vocabulary: np.ndarray, levels: list[np.ndarray]):
-        self.vocabulary, self.levels = vocabulary, levels
-
-    def numbers(self, hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers with a begin mark before each text, the texts' starts, and where tokens went."""
-        v = len(self.vocabulary)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(v - 1, 0))
-        number = np.where(self.vocabulary[at] == hashes, at, -1) if v else np.full(len(hashes), -1)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths + np.arange(len(lengths))
-        out = np.full(len(tokens) + len(lengths), v, np.int64)
-        place = np.ones(len(out), bool)
-        place[starts] = False
-        out[place] = number[tokens]
-        return out, starts, place
-
-    def keys(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The key of the longest n-gram order that ends at each place, or -1."""
-        v = len(self.vocabulary)
-        begins = np.zeros(len(numbers), bool)
-        begins[starts] = True
-        nodes = numbers.copy()  # of the n-gram that ends here, n growing
-        for level in range(len(self.levels) + 1):
-            parent = np.r_[-1, nodes[:-1]]
-            parent[begins] = -1
-            ok = (parent >= 0) & (numbers >= 0)
-            if level:
-                ok &= nodes >= 0  # both shorter n-grams are kept
-            keys = np.where(ok, parent * (v + 1) + numbers, -1)
-            if level == len(self.levels):
-                return keys
-            kept = self.levels[level]
-            at = np.minimum(np.searchsorted(kept, keys), max(len(kept) - 1, 0))
-            nodes = np.where((keys >= 0) & (kept[at] == keys), at, -1) if len(kept) else np.full(len(keys), -1)
-        return keys
-
-
-def _count_grams(shared, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = shared.value
-        for batch in batches:
-            for train, lengths, tokens, words in zip(*(batch.column(c).to_pylist() for c in ("train", "lengths", "tokens", "words"))):
-                lengths, learns = np.array(lengths, np.int64), np.array(train, bool)
-                if not learns.any():
-                    continue
-                flat = _unzip(tokens, np.uint32)[np.repeat(learns, lengths)]
-                numbers, starts, _ = grams.numbers(np.frombuffer(words, np.uint64), flat, lengths[learns])
-                keys = grams.keys(numbers, starts)
-                keys, counts = np.unique(keys[keys >= 0], return_counts=True)
-                shard = (keys % (len(grams.vocabulary) + 1)) % shards
-                order = np.argsort(shard, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                    if len(part):
-                        yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), pa.array([_zip(np.diff(keys[part], prepend=0))], pa.binary()), pa.array([_zip(counts[part].astype(np.uint32))], pa.binary())], names=["shard", "keys", "counts"])
+        for row in _rows(batches):
+            walk = _walk(model, row, level)
+            if not len(walk.keys):
+                continue
+            learns = np.repeat(np.array(row["train"], bool), np.array(row["lengths"], np.int64) + 1)[walk.ok]
+            counts = np.bincount(walk.back[learns], minlength=len(walk.keys)).astype(np.uint32)
+            low = np.empty(len(walk.keys), np.float32)
+            low[walk.back] = walk.low[walk.ok]
+            shard = model.shard_of(level, walk.keys)
+            order = np.argsort(shard, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(shard[part[0]])], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([_zip(np.diff(walk.keys[part], prepend=0))], pa.binary()), pa.array([_zip(counts[part])], pa.binary()), pa.array([_zip(low[part])], pa.binary())],
+                    names=["shard", "block", "keys", "counts", "low"],
+                )
 
     return run
 
 
-def _add_grams(batches_of_group: pa.Table) -> pa.Table:
-    keys, counts = [], []
-    for k, c in zip(batches_of_group.column("keys").to_pylist(), batches_of_group.column("counts").to_pylist()):
-        keys.append(np.cumsum(_unzip(k, np.int64)))
-        counts.append(_unzip(c, np.uint32).astype(np.int64))
-    keys, back = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
-    often = counts > 1
-    return pa.table({"keys": pa.array([_zip(keys[often])], pa.binary()), "counts": pa.array([_zip(counts[often])], pa.binary()), "histogram": pa.array([_histogram(counts[often]).tolist()], pa.list_(pa.int64()))})
-
-
-def _keep_grams(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, c = _unzip(keys, np.int64), _unzip(counts, np.int64)
-                kept = _bin_of(c) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(k[kept]), pa.array(c[kept])], names=["k", "c"])
+def _learn(model: _Model, level: int, last: bool):
+    """A shard's trie, and its answers: one for each block, and one row with what the shard holds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        v, shard, blocks = model.words, table.column("shard")[0].as_py(), table.column("block").to_pylist()
+        keys = [np.cumsum(_unzip(k, np.int64)) for k in table.column("keys").to_pylist()]
+        counts = np.concatenate([_unzip(c, np.uint32) for c in table.column("counts").to_pylist()])
+        cut = np.cumsum([len(k) for k in keys])[:-1]
+        keys, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        n = np.bincount(back, weights=counts).astype(np.int64)
+        low = np.concatenate([_unzip(x, np.float32) for x in table.column("low").to_pylist()])[at].astype(float)
+        contexts, parent = np.unique(keys // (v + 1), return_inverse=True)
+        word = keys % (v + 1)
+        hot = model.find_hot(level, contexts)
+        followed = np.bincount(parent, n, len(contexts))
+        followed[hot >= 0] = model.hot[level - 1][1][hot[hot >= 0]]
+        seen = n > 0
+        alpha = np.log10((n[seen] - model.discount) / followed[parent[seen]])
+        if len(alpha):
+            book = codebook(alpha)
+            alpha = book[quantised(alpha, book)]
+        taken, shorter = np.bincount(parent[seen], 10.0**alpha, len(contexts)), np.bincount(parent[seen], 10.0 ** low[seen], len(contexts))
+        bow = backoff_log10(taken, shorter)
+        bow[hot >= 0] = 0.0
+        trie = Trie.build(v, [{"parent": parent[seen], "successor": word[seen], "alpha": alpha, "bow": bow, "parents": len(contexts), "universe": v + 1}])
+        node = trie.find(0, parent, word)
+        logs = trie.bow(0, parent) + low
+        logs[node >= 0] = trie.alpha(0, node[node >= 0])
+        logs[(node < 0) & (hot >= 0)[parent]] = np.nan  # the weight is known when all shards have answered
+        logs, often = logs.astype(np.float32), np.flatnonzero(n * _HOT > model.total)
+        m = len(blocks)
+        return pa.table({
+            "shard": pa.array([shard] * (m + 1), pa.int32()), "block": pa.array([*blocks, None], pa.int64()), "a": pa.array([*(_zip(x) for x in np.split(logs[back], cut)), None], pa.binary()),
+            "b": pa.array([None if last else _pack_nodes(x) for x in np.split(node[back], cut)] + [None], pa.binary()), "size": pa.array([None] * m + [int(seen.sum())], pa.int64()),
+            "often": pa.array([None] * m + [[{"node": int(node[i]), "n": int(n[i])} for i in often]], _OFTEN),
+            "parts": pa.array([None] * m + [[{"context": int(contexts[i]), "taken": float(taken[i]), "shorter": float(shorter[i])} for i in np.flatnonzero(hot >= 0)]], _PARTS),
+        })
 
     return run
 
 
-def build_trie(vocabulary: int, word_counts: np.ndarray, unigram: np.ndarray, begins: int, levels: list[tuple[np.ndarray, np.ndarray]], discount: float = 0.5) -> Trie:
-    """From sorted keys and counts of each level. ``word_counts``, ``unigram``: count and log10 probability of each word."""
-    v = vocabulary
-    out = []
-    contexts = np.r_[word_counts, begins].astype(float)  # how often a parent was followed by anything
-    lower = unigram  # log10 of each node's last word in the context one word shorter
-    firsts = previous = None
-    for k, (keys, counts) in enumerate(levels):
-        parent, word = keys // (v + 1), keys % (v + 1)
-        alpha = np.log10((counts - discount) / np.maximum(contexts[parent], counts))
-        book = codebook(alpha) if len(alpha) else np.zeros(1)
-        alpha = book[quantised(alpha, book)]
-        if k == 0:
-            successor, universe, short = word, v + 1, unigram[word] if len(word) else np.empty(0)
-        else:
-            # the same last word below the context without its first word
-            context = previous["short"][parent]
-            key = context * (v + 1) + word
-            node = np.searchsorted(previous["keys"], key)
-            successor = node - firsts[context]
-            universe = int(successor.max()) + 1 if len(successor) else 1
-            short = lower[node] if len(node) else np.empty(0)
-        size = len(contexts)
-        left = 1 - np.bincount(parent, 10.0**alpha, size)
-        rest = 1 - np.bincount(parent, 10.0**short, size)
-        with np.errstate(divide="ignore"):
-            bow = np.log10(np.clip(left, 1e-9, 1) / np.clip(rest, 1e-9, None))
-        bow[np.bincount(parent, minlength=size) == 0] = 0.0
-        bowbook = codebook(bow)
-        bow = bowbook[quantised(bow, bowbook)]
-        out.append({"parent": parent, "successor": successor, "alpha": alpha, "bow": bow, "parents": size, "universe": universe})
-        firsts = np.searchsorted(parent, np.arange(size + 1))
-        previous = {"word": word, "keys": keys, "short": node if k else word}
-        contexts, lower = counts.astype(float), alpha
-    return Trie.build(v, out)
-
-
-def _publish(scratch: Scratch, trie: Trie) -> str:
-    """Put the trie's file where Spark hands it to every executor, later ones included; return its name there."""
-    spark, name = scratch.spark, f"trie-{os.path.basename(scratch.root)}.ef"
-    path = scratch._path(name)
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(trie.tobytes()))
-    out.close()
-    spark.sparkContext.addFile(f"{scratch.root}/{name}")
-    return name
-
-
-def _score(name: str, shared, total: int, types: int, discount: float, bits: int):
-    tries: dict[str, Trie] = {}
-
+def _score(model: _Model, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in tries:
-            tries[name] = Trie.map(SparkFiles.get(name))
-        trie, grams = tries[name], shared.value
         for batch in batches:
-            for ids, train, lengths, tokens, words, answers in zip(batch.column("ids"), *(batch.column(c).to_pylist() for c in ("train", "lengths", "tokens", "words", "answers"))):
-                h, lengths, flat = np.frombuffer(words, np.uint64), np.array(lengths, np.int64), _unzip(tokens, np.uint32)
-                shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                counts = np.zeros(len(h), np.int64)
-                for answer in answers:
-                    counts[shard == answer["shard"]] = _unzip(answer["totals"], np.uint64)
-                base = np.log10((counts + 1) / (total + types + 1))
-                unigram = unigram_log10(counts, total, types, discount)
-                numbers, starts, place = grams.numbers(h, flat, lengths)
-                alone = np.zeros(len(numbers))
-                alone[place] = unigram[flat]
-                tokens_log = trie.log10(numbers, starts, alone)[place]
+            for k in range(batch.num_rows):
+                ids, row = batch.column("ids").slice(k, 1).flatten(), batch.select(["train", "lengths", "tokens", "words", "answers"]).slice(k, 1).to_pylist()[0]
+                walk, lengths, flat = _walk(model, row, order), np.array(row["lengths"], np.int64), _unzip(row["tokens"], np.uint32)
+                base = np.log10((walk.counts + 1) / (model.total + model.types + 1))
                 at = np.cumsum(lengths) - lengths
                 yield pa.RecordBatch.from_arrays(
-                    [ids.values, pa.array([not t for t in train], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat((counts > 0)[flat].astype(np.int64), at)), pa.array(np.full(len(at), total, np.int64)),
-                     pa.array(np.add.reduceat(base[flat], at)), pa.array(np.add.reduceat(tokens_log, at))],
+                    [ids, pa.array([not t for t in row["train"]], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat((walk.counts > 0)[flat].astype(np.int64), at)), pa.array(np.full(len(at), model.total, np.int64)),
+                     pa.array(np.add.reduceat(base[flat], at)), pa.array(np.add.reduceat(walk.low[walk.place], at))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     return run
 
 
+def backoff_log10(taken: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """From the probability of what was seen in each context, and what the same words have one word shorter."""
+    out = np.log10(np.clip(1 - taken, 1e-9, 1) / np.clip(1 - shorter, 1e-9, None))
+    out[taken == 0] = 0.0
+    return out
+
+
 def unigram_log10(counts: np.ndarray, total: int, types: int, discount: float) -> np.ndarray:
     """Absolute discounting; the discounted mass is that of the one event "unseen"."""
     if not total:
@@ -315,7 +325,7 @@ def unigram_log10(counts: np.ndarray, total: int, types: int, discount: float) -
     return np.log10(np.where(counts > 0, np.maximum(counts - discount, 1e-9), discount * types) / total)
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, order: int = 3, vocabulary: int = 1 << 16, max_ngrams: int = 1 << 20, block_tokens: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, order: int = 3, block_tokens: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
     ship(spark)
@@ -330,41 +340,52 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     n_blocks = blocks.count()
     bits = min(12, max(0, (n_blocks - 1).bit_length()))
     asked = blocks.select("block", "words", "counts").mapInArrow(_ask(bits), "shard int, block long, words binary, counts binary")
-    totals = asked.groupBy("shard").applyInArrow(_answer, "shard int, block long, words binary, totals binary, stats array<bigint>")
+    totals = asked.groupBy("shard").applyInArrow(_answer, "shard int, block long, a binary, b binary, stats array<bigint>, often array<struct<node:long,n:long>>")
     totals = scratch.table("totals", totals, "uncompressed")
     stats = totals.where("block IS NULL").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    sums = np.zeros(4 + 64 * _BINS, np.int64)
+    sums = np.zeros(5, np.int64)
     for r in stats:
         sums[r.i] = r.x
     types, total, once, twice = (int(x) for x in sums[:4])
     discount = min(0.9, max(0.05, once / max(1, once + 2 * twice)))
 
-    least = _most(sums[4:], vocabulary)
-    kept = totals.where("block IS NULL").select("words", "totals").mapInArrow(_keep_words(least), "h long, c long").toArrow()
-    hashes, counts = kept.column("h").to_numpy().view(np.uint64), kept.column("c").to_numpy()
-    by_hash = np.argsort(hashes)
-    hashes, counts = hashes[by_hash], counts[by_hash]
+    first, often = _numbered(totals.where("block IS NULL").select("shard", F.element_at("stats", 5).alias("size"), "often"), 1 << bits, total)
     begins = int(blocks.select(F.explode("train").alias("t")).where("t").count())
+    model = _Model(bits, max(1, min(4096, n_blocks)), int(first[-1]), total, types, begins, discount, [first[:-1]])
+    often.append((model.words, begins))
+
+    answers = totals.where("block IS NOT NULL").select("block", F.lit(0).alias("level"), "shard", "a", "b")
+    columns = ("block", "train", "lengths", "tokens", "words")
+    for level in range(1, order):
+        if int(first[-1]) * (model.words + 1) >= 1 << 63:
+            raise ValueError("too many n-grams and words for keys of 64 bits")
+        often = sorted((node, n) for node, n in often if n * _HOT > total)
+        model.hot.append((np.array([x for x, _ in often], np.int64), np.array([n for _, n in often], np.int64)))
+        asked = _with_answers(blocks.select(*columns), answers).mapInArrow(_ask_grams(model, level), "shard int, block long, keys binary, counts binary, low binary")
+        learned = asked.groupBy("shard").applyInArrow(_learn(model, level, level == order - 1), "shard int, block long, a binary, b binary, size long, often array<struct<node:long,n:long>>, parts array<struct<context:long,taken:double,shorter:double>>")
+        learned = scratch.table(f"grams-{level}", learned, "uncompressed")
+        held = learned.where("block IS NULL")
+        first, often = _numbered(held.select("shard", "size", "often"), model.shards, total)
+        bow = np.zeros(len(model.hot[-1][0]))
+        for r in held.select(F.inline("parts")).groupBy("context").agg(F.sum("taken").alias("taken"), F.sum("shorter").alias("shorter")).collect():  # the hot contexts
+            bow[model.find_hot(level, np.array([r.context]))] = backoff_log10(np.array([r.taken]), np.array([r.shorter]))
+        model.first.append(first[:-1])
+        model.bow.append(bow)
+        answers = answers.union(learned.where("block IS NOT NULL").select("block", F.lit(level).alias("level"), "shard", "a", "b"))
 
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    shards = max(1, min(4096, n_blocks))
-    for k in range(order - 1):
-        shared = spark.sparkContext.broadcast(_Grams(hashes, [keys for keys, _ in levels]))  # bounded by vocabulary and max_ngrams
-        grams = blocks.select("train", "lengths", "tokens", "words").mapInArrow(_count_grams(shared, shards), "shard int, keys binary, counts binary")
-        grams = grams.groupBy("shard").applyInArrow(_add_grams, "keys binary, counts binary, histogram array<bigint>")
-        grams = scratch.table(f"grams-{k}", grams, "uncompressed")
-        histogram = np.zeros(64 * _BINS, np.int64)
-        for r in grams.select(F.posexplode("histogram").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
-            histogram[r.i] = r.x
-        kept = grams.select("keys", "counts").mapInArrow(_keep_grams(_most(histogram, max_ngrams)), "k long, c long").toArrow()
-        keys, n = kept.column("k").to_numpy(), kept.column("c").to_numpy()
-        by_key = np.argsort(keys)
-        levels.append((keys[by_key], n[by_key]))
-        scratch.drop(f"grams-{k}")
-    trie = build_trie(len(hashes), counts, unigram_log10(counts, total, types, discount), begins, levels)
-    name = _publish(scratch, trie)
-
-    shared = spark.sparkContext.broadcast(_Grams(hashes, []))
-    answers = totals.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("shard", "totals")).alias("answers"))  # a row for each shard
     out = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-    return blocks.select("block", "ids", "train", "lengths", "tokens", "words").join(answers, "block").mapInArrow(_score(name, shared, total, types, discount, bits), out)
+    return _with_answers(blocks.select(*columns, "ids"), answers).mapInArrow(_score(model, order), out)
+
+
+def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "a", "b")).alias("answers")), "block")  # a row for each shard and level
+
+
+def _numbered(held: DataFrame, shards: int, total: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Where each shard's numbers begin, and at last their end; and (number, count) of what over a 1024th of all tokens is."""
+    sizes = np.zeros(shards + 1, np.int64)
+    for r in held.select("shard", "size").collect():  # one for each shard
+        sizes[r["shard"] + 1] = r["size"]
+    first = np.cumsum(sizes)
+    often = held.select("shard", F.inline("often")).where(F.col("n") * _HOT > total).collect()  # 1024 at most
+    return first, [(int(first[r["shard"]]) + r["node"], r["n"]) for r in often]

@@ -314,6 +314,27 @@ def test_probabilities_add_up(spark):
     assert score[end] != first[end] and all(x < 0 for x in score.values())
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_back_off_through_all_ngrams(spark, order):
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choices("abcdefghijkl", weights=range(1, 13), k=rng.randint(0, 25)))) for i in range(80)] + [(None, "a b zz"), (501, None)]
+    want = brute.backoff_scores(rows, order)
+    for block_tokens in (100, 1 << 20):  # many shards, and one
+        got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), order=order, block_tokens=block_tokens).collect()
+        assert len(got) == len(rows)
+        for r in got:  # back-off weights are rounded down to a codebook
+            assert abs(r.score - want[r.doc_id]) < 0.02 * r.n_tokens + 1e-4
+
+
+def test_rare_words_have_context(spark):
+    train, probe = ([i for i in range(1000) if (brute.fold(i, 7) == 2) == held][0] for held in (False, True))
+    words = [f"w{i}" for i in range(70_000)]
+    rows = [(train, " ".join(words)), (probe, " ".join(words[100:200]))]
+    score = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # each word is seen once, so what follows a seen pair has the probability 1 - 0.9, and begin and end are backed off to
+    assert score[probe] > -100 - 30 and score[probe] < -90
+
+
 def _share_of_end(rows):
     counts = Counter(t for i, text in rows if brute.fold(i, 7) != 2 for t in [*text.split(), None])
     total, once, twice = sum(counts.values()), sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
