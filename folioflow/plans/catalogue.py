@@ -227,7 +227,12 @@ SELECT doc_id, max(i)::bigint AS n_blocks, CASE WHEN max(i) = 0 THEN 0 ELSE max(
 )
 def pack_blocks(spark, sf_dir):
     lines = F.filter(F.split("text", "\n"), lambda l: l != "")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(lines, lambda l: F.least(F.length(l), F.lit(2700)) + 40).alias("v"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    long = F.coalesce(F.exists("lines", lambda l: F.length(l) > 2700), F.lit(False))
+    short = docs.where(~long).select("doc_id", F.transform("lines", lambda l: F.length(l) + 40).alias("v"))
+    blocks = docs.where(long).select("doc_id", F.posexplode("lines").alias("seq", "text"), F.lit("paragraph").alias("type"))
+    pieces = chunking.split_blocks(blocks, 2700).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece", F.length("text").alias("n")))).alias("p"))  # a document's lines
+    docs = short.union(pieces.select("doc_id", F.transform("p", lambda p: p["n"] + 40)))
     docs = docs.withColumn("c", chunking.packed(F.col("v"), 3500))
     sizes = docs.select("doc_id", F.explode_outer(F.arrays_zip("v", "c")).alias("z")).groupBy("doc_id", "z.c").agg(F.count("z.v").alias("n"), (F.sum(F.col("z.v") + 4) + 2).alias("size"))
     return sizes.groupBy("doc_id").agg(F.sum("n").alias("n_blocks"), F.count("c").alias("n_chunks"), F.coalesce(F.max("size"), F.lit(0)).alias("max_chars"))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from folioflow.operators import chunking
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -41,3 +42,22 @@ def test_matches_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", ["sanitize_markdown", "latex_normalize", "md_to_html", "visual_cluster", "caption_groups", "translate_stub", "table_parse"])
 def test_runs(spark, sf_dir, name):
     assert __spark_entry__.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_pack_blocks_counts_all_of_long_lines(spark, tmp_path):
+    texts = ["a b. " * 1000, "x" * 24_647, "short\n\n" + "Some words. " * 700 + "\nend", "y" * 2700, "", None, "z" * 2701 + "\n" + " " * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_blocks, r.n_chunks, r.max_chars) for r in __spark_entry__.queries()["pack_blocks"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        sizes = []
+        for line in filter(None, (text or "").split("\n")):
+            pieces = chunking.split_for_prompt(line, 2700) or [line] if len(line) > 2700 else [line]
+            sizes += [len(p) + 40 for p in pieces]
+        chunks = []
+        for n in sizes:
+            if chunks and chunks[-1] + n + 4 <= 3500:
+                chunks[-1] += n + 4
+            else:
+                chunks.append(2 + n + 4)
+        assert got[i] == (len(sizes), len(chunks), max(chunks, default=0))
+    assert got[1][0] == 10
