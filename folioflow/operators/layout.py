@@ -85,38 +85,121 @@ def caption_groups(captions: DataFrame, reach: float = 18.0, page=PAGE) -> DataF
     return captions.groupBy(*page).applyInPandas(fold, captions.schema.simpleString()[7:-1].replace(":", " ") + ", group_no long")
 
 
-def visual_clusters(seeds: DataFrame, primitives: DataFrame, page=PAGE, low: float = -8.0, high: float = 28.0, share: float = 0.05) -> DataFrame:
-    """The box that grows from each seed over primitives above it, until no further one touches it.
-
-    The scan order of primitives (``insert_no``) matters and is kept: a primitive joins if it overlaps the box, or lies
-    above or below it with a gap between ``low`` and ``high``; a box that grew is scanned for again.
+def _meet(a, b):
+    """The common rectangle, or None if it has no area."""
+    r = (max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3]))
+    return r if r[0] < r[2] and r[1] < r[3] else None
+
+
+def _join(a, b):
+    """The rectangle around both; one without area adds nothing."""
+    if b[0] >= b[2] or b[1] >= b[3]:
+        return a
+    if a[0] >= a[2] or a[1] >= a[3]:
+        return b
+    return (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+
+
+def _share(a, b) -> float:
+    """Of the first rectangle's area."""
+    m = _meet(a, b)
+    return (m[2] - m[0]) * (m[3] - m[1]) / ((a[2] - a[0]) * (a[3] - a[1])) if m else 0.0
+
+
+def _around(r, page, margin: float):
+    return (max(r[0] - margin, page[0]), max(r[1] - margin, page[1]), min(r[2] + margin, page[2]), min(r[3] + margin, page[3]))
+
+
+def _is_label(text, cluster, page, figure: bool) -> bool:
+    """Whether a text near a cluster belongs to it: body text beside a figure does not."""
+    if not figure:
+        return _meet(text, _around(cluster, page, 26)) is not None
+    tight = _around(cluster, page, 10)
+    x, y = (text[0] + text[2]) / 2, (text[1] + text[3]) / 2
+    overlaps = _share(text, tight) > 0.35
+    if text[2] - text[0] > (page[2] - page[0]) * 0.38 and text[3] - text[1] > 26 and not overlaps:
+        return False
+    return overlaps or (tight[0] <= x <= tight[2] and tight[1] <= y <= tight[3])
+
+
+def _cluster(rows, above: bool, page, figure: bool, grouped: bool):
+    """The box that grows over (kind, box) candidates, and how many it took; None without candidates."""
+    drawn = [i for i, (kind, _) in enumerate(rows) if kind != "text"]
+    pool = drawn or range(len(rows))
+    if not pool:
+        return None, 0
+    first = max(pool, key=lambda i: (rows[i][1][3], -i)) if above else min(pool, key=lambda i: (rows[i][1][1], i))
+    box, used = rows[first][1], {first}
+    if drawn and grouped:
+        edge = box[3] if above else box[1]
+        for i in drawn:
+            r = rows[i][1]
+            if (r[3] >= edge - 120 and r[1] <= edge + 12) if above else (r[1] <= edge + 120 and r[3] >= edge - 12):
+                box = _join(box, r)
+                used.add(i)
+    else:
+        reach, grown = 28 if drawn else 42, True
+        while grown:
+            grown = False
+            for i in pool:
+                r = rows[i][1]
+                if _share(r, box) > 0.05 or -8 <= (box[1] - r[3] if above else r[1] - box[3]) <= reach:
+                    used.add(i)
+                    new = _join(box, r)
+                    grown, box = grown or new != box, new
+    if drawn:
+        window = _around(box, page, 26)
+        for i, (kind, r) in enumerate(rows):
+            if kind == "text" and _meet(r, window) and _is_label(r, box, page, figure):
+                box = _join(box, r)
+                used.add(i)
+    return (max(box[0], page[0]), max(box[1], page[1]), min(box[2], page[2]), min(box[3], page[3])), len(used)
+
+
+def _nearest_cluster(captions, kind: str, page, rows):
+    """Box, direction and size of the cluster above a group of captions, or below it if none is near above."""
+    g = captions[0]
+    for c in captions[1:]:
+        g = _join(g, c)
+    if len(captions) > 1:
+        left, right = g[0] - 35, g[2] + 35
+    elif g[2] - g[0] > (page[2] - page[0]) * 0.55:
+        left, right = page[0], page[2]
+    else:
+        margin = 25 if kind == "figure" else 45
+        left, right = g[0] - margin, g[2] + margin
+    left, right = max(left, page[0]), min(right, page[2])
+    near = [(k, r) for k, r in rows if max(0.0, min(r[2], right) - max(r[0], left)) / max(r[2] - r[0], 1.0) > 0.15]
+    for above in (True, False):
+        side = [(k, r) for k, r in near if (r[3] <= g[1] - 2 if above else r[1] >= g[3] + 2)]
+        box, n = _cluster(side, above, page, kind == "figure", len(captions) > 1)
+        if box is not None and (g[1] - box[3] if above else box[1] - g[3]) <= 80:
+            return box, "above" if above else "below", n
+    return None, "above", 0
+
+
+def visual_clusters(captions: DataFrame, primitives: DataFrame, page=PAGE) -> DataFrame:
+    """For each group of captions (``group_no``; ``insert_no`` is its first) the box of its table or figure.
+
+    Captions have ``kind`` and the page's ``width`` and ``height``, primitives have ``kind``. Candidates lie over or
+    under the caption, in a window that depends on the group, its width and kind. The box starts at the one nearest
+    to the caption and grows over those that it overlaps or that follow within 28 units (42 where all are texts), a
+    group's over a band of 120; labels are added, body text beside a figure is not. It counts if it is within 80 units
+    above, else if it is within 80 below; without one it is null and ``direction`` "above". Order matters and is that of ``insert_no``.
     """
 
     def grow(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out, rows = [], right.sort_values("insert_no")[["x0", "y0", "x1", "y1"]].to_numpy() if len(right) else []
-        for seed in left.itertuples():
-            box, used = None, set()
-            order = [i for i, r in enumerate(rows) if r[3] <= seed.y0 - 2 and min(r[2], seed.x1) > max(r[0], seed.x0)]
-            if order:
-                first = max(order, key=lambda i: (rows[i][3], -i))
-                box, used, grown = rows[first].copy(), {first}, True
-                while grown:
-                    grown = False
-                    for i in order:
-                        r = rows[i]
-                        if i in used:
-                            continue
-                        w, h = min(box[2], r[2]) - max(box[0], r[0]), min(box[3], r[3]) - max(box[1], r[1])
-                        size = (r[2] - r[0]) * (r[3] - r[1])
-                        gap = max(r[1] - box[3], box[1] - r[3])
-                        if (w > 0 and h > 0 and size and w * h / size > share) or low <= gap <= high:
-                            box = [min(box[0], r[0]), min(box[1], r[1]), max(box[2], r[2]), max(box[3], r[3])]
-                            used.add(i)
-                            grown = True
-            out.append((*key, seed.insert_no, *(map(float, box) if box is not None else (None,) * 4), len(used)))
-        return pd.DataFrame(out, columns=[*page, "insert_no", "x0", "y0", "x1", "y1", "n"])
+        sides = ["x0", "y0", "x1", "y1"]
+        right = right.sort_values("insert_no", kind="stable")
+        rows = list(zip(right["kind"], map(tuple, right[sides].to_numpy(float))))
+        out = []
+        for _, group in left.sort_values("insert_no", kind="stable").groupby("group_no"):
+            first = group.iloc[0]
+            box, direction, n = _nearest_cluster([tuple(r) for r in group[sides].to_numpy(float)], first["kind"], (0.0, 0.0, float(first["width"]), float(first["height"])), rows)
+            out.append((*key, first["insert_no"], *(map(float, box) if box is not None else (None,) * 4), direction, n))
+        return pd.DataFrame(out, columns=[*page, "insert_no", *sides, "direction", "n"])
 
     # both sides may come from one table; the right one gets columns of its own
-    primitives = primitives.select(*(F.col(c).alias(c) for c in (*page, "insert_no", "x0", "y0", "x1", "y1")))
-    kinds = ", ".join(f"{p} {seeds.schema[p].dataType.simpleString()}" for p in page)
-    return seeds.groupBy(*page).cogroup(primitives.groupBy(*page)).applyInPandas(grow, f"{kinds}, insert_no long, x0 double, y0 double, x1 double, y1 double, n long")
+    primitives = primitives.select(*(F.col(c).alias(c) for c in (*page, "insert_no", "kind", "x0", "y0", "x1", "y1")))
+    kinds = ", ".join(f"{p} {captions.schema[p].dataType.simpleString()}" for p in page)
+    return captions.groupBy(*page).cogroup(primitives.groupBy(*page)).applyInPandas(grow, f"{kinds}, insert_no long, x0 double, y0 double, x1 double, y1 double, direction string, n long")

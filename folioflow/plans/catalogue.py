@@ -409,7 +409,9 @@ def md_to_html(spark, sf_dir):
 @query()
 def visual_cluster(spark, sf_dir):
     rows = boxes(spark, sf_dir).drop("l_partkey")
-    return layout.visual_clusters(rows.where("insert_no = 1"), rows.where("insert_no > 1"))
+    captions = rows.where("insert_no = 1").selectExpr("*", "if(page_no % 2 = 0, 'figure', 'table') AS kind", "400.0D AS width", "800.0D AS height")
+    primitives = rows.where("insert_no > 1").selectExpr("*", "if(insert_no % 3 = 0, 'text', 'drawing') AS kind")
+    return layout.visual_clusters(layout.caption_groups(captions), primitives)
 
 
 @query()

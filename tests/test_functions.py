@@ -140,3 +140,32 @@ def test_stream_of_dropped_files(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT * FROM dropped").count() == 200
+
+
+def clusters(spark, captions, primitives):
+    """captions: (page, insert_no, kind, box); primitives the same. Gives (page, insert_no) -> (box, direction)."""
+    ddl = "paper_id long, page_no long, insert_no long, kind string, x0 double, y0 double, x1 double, y1 double"
+    seeds = spark.createDataFrame([(1, p, i, k, *map(float, b)) for p, i, k, b in captions], ddl)
+    seeds = seeds.withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
+    found = layout.visual_clusters(layout.caption_groups(seeds), spark.createDataFrame([(1, p, i, k, *map(float, b)) for p, i, k, b in primitives], ddl)).collect()
+    return {(r.page_no, r.insert_no): (None if r.x0 is None else (r.x0, r.y0, r.x1, r.y1), r.direction) for r in found}
+
+
+def test_visual_clusters(spark):
+    line = (100, 400, 300, 410)
+    captions = [(p, 1, "figure", line) for p in range(1, 8)] + [(8, 1, "table", (50, 400, 150, 410)), (8, 2, "table", (300, 405, 400, 415)), (9, 1, "table", line), (10, 1, "figure", line)]
+    primitives = [
+        (1, 2, "drawing", (100, 300, 300, 390)), (1, 3, "drawing", (100, 420, 300, 500)),  # above wins
+        (2, 2, "drawing", (100, 420, 300, 500)), (2, 3, "drawing", (100, 520, 300, 540)),  # below, and grows downwards
+        (3, 2, "drawing", (100, 100, 300, 300)), (3, 3, "drawing", (100, 430, 300, 500)),  # over 80 units above, so below
+        (4, 2, "drawing", (100, 100, 300, 300)),  # too far
+        (5, 2, "drawing", (320, 300, 420, 390)),  # 5 % of it over the window
+        (6, 2, "text", (100, 370, 300, 390)), (6, 3, "text", (100, 310, 300, 330)),  # texts only: gap of 40
+        (7, 2, "drawing", (100, 300, 300, 390)), (7, 3, "text", (100, 250, 380, 296)), (7, 4, "text", (120, 285, 160, 297)),  # body text stays out, a label does not
+        (8, 3, "drawing", (50, 380, 150, 390)), (8, 4, "drawing", (300, 290, 400, 300)),  # a band of the group
+        (9, 2, "drawing", (100, 300, 300, 390)), (9, 3, "text", (100, 250, 380, 296)),  # near a table every text counts
+    ]
+    assert clusters(spark, captions, primitives) == {
+        (1, 1): ((100, 300, 300, 390), "above"), (2, 1): ((100, 420, 300, 540), "below"), (3, 1): ((100, 430, 300, 500), "below"), (4, 1): (None, "above"), (5, 1): (None, "above"),
+        (6, 1): ((100, 310, 300, 390), "above"), (7, 1): ((100, 285, 300, 390), "above"), (8, 1): ((50, 290, 400, 390), "above"), (9, 1): ((100, 250, 380, 390), "above"), (10, 1): (None, "above"),
+    }
