@@ -25,15 +25,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    found = jaccard_join.join(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_first"))
-    # documents without an id or words are no duplicates; an id that occurs more than once is kept once
-    kept = found.where(F.col("_id").eqNullSafe(F.col("_first"))).select("_id").where("_id IS NOT NULL").distinct()
-    kept = Scratch(spark).table("kept", kept)
-    alone = docs.where(F.col("doc_id").isNull())
-    rows = docs.join(kept, F.col("doc_id") == F.col("_id")).select(*docs.columns)
-    twice = docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count()
-    return (rows.dropDuplicates(["doc_id"]) if twice else rows).union(alone)
+    """One document of each group of near duplicates: the one with the smallest id, one without an id if no other is there."""
+    scratch = Scratch(spark)
+    unclear = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count()
+    # rows that share an id, or have none, are told apart by a number of their own, written once so that it stays
+    rows = scratch.table("keyed", docs.withColumn("_key", F.monotonically_increasing_id())) if unclear else docs.withColumn("_key", F.col("doc_id"))
+    found = jaccard_join.join(rows, id_col="_key").select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_first"))
+    if unclear:
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_id")
+        ranked = found.join(rows.select("_key", "doc_id"), F.col("_id") == F.col("_key")).groupBy("_first").agg(F.min(order).alias("_least"))
+        kept = ranked.select(F.col("_least._id").alias("_id"))
+    else:
+        kept = found.where(F.col("_id") == F.col("_first")).select("_id")
+    kept = scratch.table("kept", kept)
+    return rows.join(kept, F.col("_key") == F.col("_id")).select(*docs.columns)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -385,3 +385,13 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in at["n-gram Jaccard join"]} == {c for n, c in joined}
     assert {r.doc_id for r in at["mixing sources to target weights"]} == {r.doc_id for r in at["n-gram Jaccard join"]}
     assert len(at["BPE encoding and decoding"]) == len(at["mixing sources to target weights"])
+
+
+def test_colliding_ids_lose_no_document(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (2, c), (3, a), (None, c), (None, c + " more"), (None, "alone"), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS).repartition(3)
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs, None).collect()
+    same([(r.doc_id, r.text) for r in got], [(1, a), (1, b), (2, c), (None, "alone"), (4, ""), (4, "")])
