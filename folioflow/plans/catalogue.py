@@ -395,7 +395,7 @@ def sanitize_markdown(spark, sf_dir):
 
 @query()
 def latex_normalize(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(r"concat('θ ≤ ', substr(text, 1, 12), ' × σ\n(', doc_id, ')')").alias("raw"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(r"concat('θ ≤ ', text, ' × σ\n(', doc_id, ')')").alias("raw"))
     rows = repair.latex_of(docs, "raw")
     return repair.plain_of(rows, "latex").select("doc_id", "latex", "plain")
 

@@ -61,3 +61,10 @@ def test_pack_blocks_counts_all_of_long_lines(spark, tmp_path):
                 chunks.append(2 + n + 4)
         assert got[i] == (len(sizes), len(chunks), max(chunks, default=0))
     assert got[1][0] == 10
+
+
+def test_latex_normalize_reads_whole_texts(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(500))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = __spark_entry__.queries()["latex_normalize"](spark, str(tmp_path)).first()
+    assert "w499" in row.latex and "w499" in row.plain
