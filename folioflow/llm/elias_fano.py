@@ -106,38 +106,39 @@ class EliasFano:
         return lo, equal
 
 
-def codebook(logs: np.ndarray, size: int = 256) -> np.ndarray:
-    """At most ``size`` values; each value has one at or just below it."""
-    values = np.unique(logs)
-    return values if len(values) <= size else np.unique(np.quantile(values, np.linspace(0, 1, size), method="lower"))
+#: Codes on a logarithmic grid, as fixed values: STEP codes a factor of ten; 0 stands for "none".
+STEP = 1024
 
 
-def quantised(logs: np.ndarray, book: np.ndarray) -> np.ndarray:
-    return (np.searchsorted(book, logs, side="right") - 1).clip(0).astype(np.uint8)
+def grid_code(p: np.ndarray) -> np.ndarray:
+    """16-bit codes of probabilities in (0, 1]: the next grid value not above each, 10^-63 at least."""
+    return (np.clip(np.ceil(-np.log10(np.maximum(p, 1e-300)) * STEP - 1e-9), 0, 64_000) + 1).astype(np.uint16)
+
+
+def grid_value(code: np.ndarray) -> np.ndarray:
+    """The probability of each code; 0 for code 0."""
+    return np.where(code > 0, 10.0 ** ((1.0 - code) / STEP), 0.0)
 
 
 class Trie:
-    """Levels of n-grams over word numbers below ``words``, each level in context order.
+    """Levels of n-grams, each in context order.
 
-    A level's successors are numbers relative to their context: in the first level below the root the word numbers
-    themselves, further down the successor's rank among the successors of the context without its first word. Prefixed
-    by the parent they are one monotone sequence. ``pointers`` (monotone too) say where a node's successors begin.
-    Probabilities and back-off weights are log10, quantised to codebooks of 256.
+    A level's successors are numbers relative to their context. Prefixed by the parent they are one monotone sequence.
+    ``pointers`` (monotone too) say where a parent's successors begin. Probabilities and back-off weights are grid codes.
     """
 
-    def __init__(self, words: int, arrays: dict[str, np.ndarray], meta: dict):
-        self.words, self.arrays, self.meta = words, arrays, meta
-        self.levels = len(meta["levels"])
-        self.next = [self._sequence(f"next{k}", meta["levels"][k]["next"]) for k in range(self.levels)]
-        self.pointers = [self._sequence(f"pointer{k}", meta["levels"][k]["pointer"]) for k in range(self.levels)]
+    def __init__(self, arrays: dict[str, np.ndarray], meta: list[dict]):
+        self.arrays, self.meta, self.levels = arrays, meta, len(meta)
+        self.next = [self._sequence(f"next{k}", level["next"]) for k, level in enumerate(meta)]
+        self.pointers = [self._sequence(f"pointer{k}", level["pointer"]) for k, level in enumerate(meta)]
 
     def _sequence(self, name: str, meta: dict) -> EliasFano:
         return EliasFano(meta["n"], meta["width"], *(self.arrays[f"{name}.{p}"] for p in ("low", "high", "before")))
 
     @classmethod
-    def build(cls, words: int, levels: list[dict]) -> "Trie":
+    def build(cls, levels: list[dict]) -> "Trie":
         """``levels``: dicts of arrays ``parent``, ``successor`` (relative), both in order, ``alpha`` of each node and
-        ``bow`` of each parent, as log10; and ``parents``, their number, and ``universe``, which successors are below."""
+        ``bow`` of each parent, as grid codes; and ``parents``, their number, and ``universe``, which successors are below."""
         arrays, meta = {}, []
         for k, level in enumerate(levels):
             sequences = {"next": level["parent"].astype(np.uint64) * np.uint64(level["universe"]) + level["successor"].astype(np.uint64), "pointer": np.searchsorted(level["parent"], np.arange(level["parents"] + 1))}
@@ -146,71 +147,38 @@ class Trie:
                 ef = EliasFano.build(values)
                 about[name] = {"n": ef.n, "width": ef.width}
                 arrays |= {f"{name}{k}.low": ef.low, f"{name}{k}.high": ef.high, f"{name}{k}.before": ef.before}
-            for name in ("alpha", "bow"):
-                book = codebook(level[name]) if len(level[name]) else np.zeros(1)
-                arrays |= {f"{name}{k}.book": book, f"{name}{k}.code": quantised(level[name], book)}
+            arrays |= {f"{name}{k}.code": level[name].astype(np.uint16) for name in ("alpha", "bow")}
             meta.append(about)
-        return cls(words, arrays, {"levels": meta})
+        return cls.view(cls(arrays, meta).tobytes())
 
     def alpha(self, level: int, node: np.ndarray) -> np.ndarray:
-        return self.arrays[f"alpha{level}.book"][self.arrays[f"alpha{level}.code"][node]]
+        """Codes of nodes; of -1, any."""
+        codes = self.arrays[f"alpha{level}.code"]
+        return codes[node] if len(codes) else np.zeros(len(node), np.uint16)
 
     def bow(self, level: int, parent: np.ndarray) -> np.ndarray:
-        return self.arrays[f"bow{level}.book"][self.arrays[f"bow{level}.code"][parent]]
+        return self.arrays[f"bow{level}.code"][parent]
 
     def find(self, level: int, parent: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Node of a (parent, relative successor) pair, or -1."""
-        universe = np.uint64(self.meta["levels"][level]["universe"])
+        universe = self.meta[level]["universe"]
         out = np.full(len(parent), -1, np.int64)
         if self.next[level].n:
-            ok = np.flatnonzero((parent >= 0) & (successor >= 0) & (successor < int(universe)))
-            keys, back = np.unique(parent[ok].astype(np.uint64) * universe + successor[ok].astype(np.uint64), return_inverse=True)
-            at, equal = self.next[level].successor(keys)
-            out[ok] = np.where(equal, at, -1)[back]
+            ok = np.flatnonzero((parent >= 0) & (successor >= 0) & (successor < universe))
+            at, equal = self.next[level].successor(parent[ok].astype(np.uint64) * np.uint64(universe) + successor[ok].astype(np.uint64))
+            out[ok] = np.where(equal, at, -1)
         return out
 
     def first(self, level: int, parent: np.ndarray) -> np.ndarray:
         return self.pointers[level].get(parent).astype(np.int64)
 
-    def log10(self, words: np.ndarray, starts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """log10 probability of each token. ``words``: word numbers, -1 outside the vocabulary; ``starts``: where texts
-        start, each with a begin mark, which is not scored; ``unigram``: log10 without context."""
-        out = unigram.copy()
-        n = len(words)
-        begins = np.zeros(n, bool)
-        begins[starts] = True
-        previous = np.r_[-1, words[:-1]]
-        previous[begins] = -1
-        nodes = context = None
-        for k in range(self.levels):
-            if k == 0:
-                parent, successor = previous, words
-            else:
-                # the context one word longer is the node found one place to the left
-                context = np.r_[-1, nodes[:-1]]
-                context[begins] = -1
-                parent = context
-                shorter = nodes if k == 1 else below
-                base = previous if k == 1 else below_parent
-                has = shorter >= 0
-                successor = np.full(n, -1, np.int64)
-                successor[has] = shorter[has] - self.first(k - 1, base[has])
-            found = self.find(k, parent, successor)
-            back = parent >= 0
-            out[back] += self.bow(k, parent[back])
-            hit = found >= 0
-            out[hit] = self.alpha(k, found[hit])
-            below, below_parent, nodes = found, parent, found
-        out[begins] = 0.0
-        return out
-
     def tobytes(self) -> bytes:
         """A header with the layout, then the arrays, aligned, as they lie in memory."""
         layout, at = {}, 0
         for name, a in self.arrays.items():
             layout[name] = [at, len(a), a.dtype.str]
             at += -(-a.nbytes // 64) * 64
-        head = json.dumps({"words": self.words, "meta": self.meta, "layout": layout}).encode()
+        head = json.dumps({"meta": self.meta, "layout": layout}).encode()
         pad = -(-(len(head) + 8) // 64) * 64
         out = bytearray(pad + at)
         out[:8] = pad.to_bytes(8, "little")
@@ -221,10 +189,14 @@ class Trie:
         return bytes(out)
 
     @classmethod
-    def map(cls, path: str) -> "Trie":
-        """The trie in a file, without reading it: its arrays are views of the mapped file."""
-        whole = np.memmap(path, np.uint8, "r")
+    def view(cls, packed) -> "Trie":
+        """The trie in a buffer, or in a mapped file, without copying: its arrays are views."""
+        whole = np.frombuffer(packed, np.uint8)
         pad = int.from_bytes(whole[:8].tobytes(), "little")
         head = json.loads(whole[8:pad].tobytes().rstrip(b"\0"))
-        arrays = {name: whole[pad + at : pad + at + n * np.dtype(kind).itemsize].view(kind) for name, (at, n, kind) in head["layout"].items()}
-        return cls(head["words"], arrays, head["meta"])
+        return cls({name: whole[pad + at : pad + at + n * np.dtype(kind).itemsize].view(kind) for name, (at, n, kind) in head["layout"].items()}, head["meta"])
+
+    @classmethod
+    def map(cls, path: str) -> "Trie":
+        """The trie in a file, without reading it."""
+        return cls.view(np.memmap(path, np.uint8, "r"))

@@ -2,19 +2,24 @@
 
 *Blocks.* Texts are read once into blocks of tokens: a dictionary of word hashes and numbers into it. Later passes work
 on blocks. *Unigrams.* Each block's dictionary, with its training counts, is dealt out by hash into shards; a shard adds
-up, numbers its words and answers each block with the totals and numbers of the words it asked for. So exact counts of all
-words reach every block, no table of all words exists in one place, and a frequent word costs one entry a block.
-*N-grams.* Level by level, a block deals its distinct n-grams, with their training counts and their probability one word
-shorter, out by context; a shard adds up, builds the trie of its contexts and answers with probabilities and with the
-numbers of the nodes, which are the contexts of the next level. Every word is numbered and every n-gram of training texts
-is kept, once or often seen, so the model grows with the corpus and nothing of it is sent to all executors. The n-grams of
-a context with over a 1024th of all tokens are dealt out one by one, and its back-off weight is added up from the
-shards. *Scores.* Unigrams are smoothed by absolute discounting, with the discounted mass for unseen words, as one event;
-n-grams by discounting and back-off, so that probabilities over all events add up to one, or slightly less by rounding
-down to the codebook of the shard.
-
-Words are compared by 64-bit hashes. A null or empty text is its end token. A null id belongs to the fold of the empty
-text. Repeated rows count as often as they are there. Without training texts every token is unseen, with probability 1.
+up, numbers its words by frequency and answers each block with the totals and numbers of the words it asked for. So exact
+counts of all words reach every block, no table of all words exists in one place, and a frequent word costs one entry a
+block. *N-grams.* At each level a block deals its distinct n-grams, as word numbers with their training counts, out by
+context; a shard adds up, builds the trie of its contexts and answers with the codes it finds there. Every word is numbered
+and every n-gram of training texts is kept, once or often seen, so the model grows with the corpus and nothing of it is sent
+to all executors. There is a shard for each block, so a shard's size doesn't grow. The n-grams of a hot context, with
+over a 1024th of all tokens (less with more shards, down to a 65,536th), are dealt out one by one, and its back-off weight is
+added up from the shards; the list of hot contexts, 65,536 at most, is what all executors get.
+
+*Scores.* Unigrams are smoothed by absolute discounting, with the discounted mass for unseen words, as one event. A trie
+holds the discounted probability of each n-gram and the back-off weight of each context, as codes on a logarithmic grid,
+rounded down; the weight is what the rounded probabilities leave. p(w | context) is the discounted probability plus the
+weight times p(w | context one word shorter), so that probabilities over all events add up to one, or up to 0.3 % less.
+
+Words are compared by 64-bit hashes, n-grams by their word numbers. A null or empty text is its end token. A null id
+belongs to the fold of the empty text. Repeated rows count as often as they are there. A text longer than a block makes a
+block of its own. Without training texts every token is unseen, with probability 1. An empty table gives an empty result.
+Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -32,15 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.elias_fano import Trie, codebook, quantised
+from folioflow.llm.elias_fano import Trie, grid_code, grid_value
 from folioflow.llm.words import byte_list, fold, mix64
 from folioflow.session import Scratch, ship
 
 #: No word holds a space, so no word has this hash by construction.
 END = xxhash.xxh3_64_intdigest(b" end ")
-_HOT = 1024
-_OFTEN = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64())]))
-_PARTS = pa.list_(pa.struct([("context", pa.int64()), ("taken", pa.float64()), ("shorter", pa.float64())]))
+_HOT = (1024, 65_536)
+_OFTEN = pa.list_(pa.struct([("gram", pa.list_(pa.int64())), ("n", pa.int64())]))
+_PARTS = pa.list_(pa.struct([("place", pa.int32()), ("taken", pa.float64())]))
+_ANSWER = "shard int, block long, a binary, b binary, size long, often array<struct<gram:array<long>,n:long>>"
 
 
 class _Numbers(dict):
@@ -50,11 +56,20 @@ class _Numbers(dict):
 
 
 def _zip(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """An array, the lowest bytes of all values first, compressed."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
 def _unzip(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """An order that puts entries of a shard together, and the order's parts, one for each shard that has entries."""
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    return order, [part for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(part)]
 
 
 def _blocks(block_tokens: int):
@@ -91,139 +106,139 @@ def _blocks(block_tokens: int):
     return run
 
 
-def _ask(bits: int):
+def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
+def _ask(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts"))):
                 h, c = np.frombuffer(words, np.uint64), _unzip(counts, np.uint32)
-                shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                order = np.argsort(shard, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                    if len(part):
-                        yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), pa.array([block], pa.int64()), pa.array([h[part].tobytes()], pa.binary()), pa.array([_zip(c[part])], pa.binary())], names=["shard", "block", "words", "counts"])
+                shard = _word_shard(h, shards)
+                parts = _by_shard(shard, shards)[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(shard[p[0]]) for p in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([h[p].tobytes() for p in parts], pa.binary()), pa.array([_zip(c[p]) for p in parts], pa.binary())],
+                    names=["shard", "block", "words", "counts"],
+                )
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(shards: int):
     """A shard's totals and numbers: an answer for each block, and one row with what the shard holds."""
-    blocks, words = table.column("block").to_pylist(), [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
-    counts = np.concatenate([_unzip(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
-    distinct, back = np.unique(np.concatenate(words), return_inverse=True)
-    totals = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.uint64)
-    cut = np.cumsum([len(w) for w in words])[:-1]
-    seen = totals[totals > 0].astype(np.int64)
-    shard = table.column("shard")[0].as_py()
-    stats = [len(seen), int(seen.sum()), int((seen == 1).sum()), int((seen == 2).sum()), len(distinct)]
-    n, often = len(blocks), np.flatnonzero(totals.astype(np.int64) * _HOT > seen.sum())  # those of all shards are among them
-    return pa.table({
-        "shard": pa.array([shard] * (n + 1), pa.int32()), "block": pa.array([*blocks, None], pa.int64()), "a": pa.array([*(_zip(x) for x in np.split(totals[back], cut)), None], pa.binary()),
-        "b": pa.array([*(_zip(x) for x in np.split(back.astype(np.uint32), cut)), None], pa.binary()), "stats": pa.array([None] * n + [stats], pa.list_(pa.int64())),
-        "often": pa.array([None] * n + [[{"node": int(i), "n": int(totals[i])} for i in often]], _OFTEN),
-    })
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks, words = table.column("block").to_pylist(), [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+        counts = np.concatenate([_unzip(c, np.uint32) for c in table.column("counts").to_pylist()])
+        distinct, back = np.unique(np.concatenate(words), return_inverse=True)
+        totals = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)
+        cut = np.cumsum([len(w) for w in words])[:-1]
+        shard = table.column("shard")[0].as_py()
+        number = np.empty(len(distinct), np.int64)  # frequent words get small numbers, which take less space
+        number[np.argsort(-totals, kind="stable")] = np.arange(len(distinct)) * shards + shard
+        seen = totals[totals > 0]
+        stats = [len(seen), int(seen.sum()), int((seen == 1).sum()), int((seen == 2).sum())]
+        n, often = len(blocks), np.flatnonzero(totals * _HOT[1] > seen.sum())  # those of all shards are among them
+        return pa.table({
+            "shard": pa.array([shard] * (n + 1), pa.int32()), "block": pa.array([*blocks, None], pa.int64()), "a": pa.array([*(_zip(x) for x in np.split(totals[back].astype(np.uint64), cut)), None], pa.binary()),
+            "b": pa.array([*(_zip(x) for x in np.split(number[back].astype(np.uint32), cut)), None], pa.binary()), "size": pa.array([None] * n + [len(distinct)], pa.int64()),
+            "often": pa.array([None] * n + [[{"gram": [int(number[i])], "n": int(totals[i])} for i in often]], _OFTEN), "stats": pa.array([None] * n + [stats], pa.list_(pa.int64())),
+        })
+
+    return run
+
+
+def _number(shards: int):
+    """Blocks with their words' answers to blocks whose dictionaries hold numbers and totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.select(["words", "answers"]).slice(k, 1).to_pylist()[0]
+                h = np.frombuffer(row["words"], np.uint64)
+                order, _ = _by_shard(_word_shard(h, shards), shards)
+                answers = sorted(row["answers"], key=lambda x: x["shard"])
+                totals, number = np.empty(len(h), np.uint64), np.empty(len(h), np.uint32)
+                totals[order] = np.concatenate([_unzip(x["a"], np.uint64) for x in answers])
+                number[order] = np.concatenate([_unzip(x["b"], np.uint32) for x in answers])
+                kept = batch.select(["block", "ids", "train", "lengths", "tokens"]).slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([_zip(number)], pa.binary()), pa.array([_zip(totals)], pa.binary())], names=[*kept.schema.names, "number", "totals"])
+
+    return run
+
+
+def _hash(columns: np.ndarray) -> np.ndarray:
+    out = np.full(columns.shape[1], 0x9E3779B97F4A7C15, np.uint64)
+    for c in columns:
+        out = mix64(out ^ c.astype(np.uint64)) + np.uint64(0x632BE59BD9B4E019)
+    return out
 
 
 @dataclass
 class _Model:
-    """What all blocks and shards know: sizes, where a shard's numbers begin, and the hot contexts of each level."""
+    """What all blocks and shards know: sizes, and the hot contexts of each level, with 65,536 entries at most."""
 
-    bits: int
     shards: int
-    words: int  # all distinct words; this number is the begin mark's
+    words: int  # all numbers are below; this number is the begin mark's
     total: int
     types: int
-    begins: int
     discount: float
-    first: list[np.ndarray]  # of each level, by shard
-    hot: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # contexts of each level from the first, in order, and how often each was followed
-    bow: list[np.ndarray] = field(default_factory=list)  # their log10 back-off weights
-
-    def find_hot(self, level: int, context: np.ndarray) -> np.ndarray:
-        """Place of each context among the hot ones, or -1."""
-        kept = self.hot[level - 1][0]
+    hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # of each level from the first: hashes in order, contexts (a row for each word), how often each was followed
+    left: list[np.ndarray] = field(default_factory=list)  # the hot contexts' back-off weights
+
+    def add_hot(self, grams: list[tuple[list[int], int]], size: int) -> None:
+        context = np.array([g for g, _ in grams], np.int64).reshape(-1, size).T
+        h = _hash(context)
+        order = np.argsort(h, kind="stable")
+        self.hot.append((h[order], context[:, order], np.array([n for _, n in grams], np.int64)[order]))
+
+    def find_hot(self, level: int, context: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Place of each context (a column) among the hot ones, or -1."""
+        kept, grams, _ = self.hot[level - 1]
         if not len(kept):
-            return np.full(len(context), -1)
-        at = np.minimum(np.searchsorted(kept, context), len(kept) - 1)
-        return np.where(kept[at] == context, at, -1)
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(kept, h), len(kept) - 1)
+        return np.where((grams[:, at] == context).all(axis=0), at, -1)
 
-    def shard_of(self, level: int, keys: np.ndarray) -> np.ndarray:
-        context = keys // (self.words + 1)
-        dealt = np.where(self.find_hot(level, context) >= 0, keys, context)
-        return (mix64(dealt.astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
+    def shard_of(self, level: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of n-grams (columns): their shards, and the places of their contexts among the hot ones."""
+        h = _hash(grams[:-1])
+        hot = self.find_hot(level, grams[:-1], h)
+        dealt = np.where(hot >= 0, mix64(h ^ mix64(grams[-1].astype(np.uint64))), h)
+        return (dealt % np.uint64(self.shards)).astype(np.int64), hot
 
 
 @dataclass
 class _Walk:
-    """A block's tokens with a begin mark before each text, after some levels are answered."""
+    """A block's tokens with a begin mark before each text, and the distinct n-grams of each level."""
 
-    counts: np.ndarray  # of the dictionary's words
-    unigram: np.ndarray
     place: np.ndarray  # where tokens are, not begin marks
-    low: np.ndarray  # log10 of each token in the longest context so far
-    keys: np.ndarray  # distinct n-grams of the level that is not answered yet
-    back: np.ndarray  # token to n-gram
-    ok: np.ndarray  # tokens that have one
-
-
-def _walk(model: _Model, row: dict, upto: int) -> _Walk:
-    """Go through the levels whose answers ``row`` holds; the n-grams of level ``upto`` are the ones to ask for."""
-    answers: list[list[dict]] = [[] for _ in range(upto)]
-    for answer in sorted(row["answers"], key=lambda x: x["shard"]):
-        answers[answer["level"]].append(answer)
-    h, lengths, flat = np.frombuffer(row["words"], np.uint64), np.array(row["lengths"], np.int64), _unzip(row["tokens"], np.uint32)
-    shard = (h >> np.uint64(64 - model.bits)).astype(np.int64) if model.bits else np.zeros(len(h), np.int64)
-    order = np.argsort(shard, kind="stable")
-    counts, number = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-    counts[order] = np.concatenate([_unzip(x["a"], np.uint64) for x in answers[0]])
-    number[order] = np.concatenate([_unzip(x["b"], np.uint32).astype(np.int64) for x in answers[0]])
-    number += model.first[0][shard]
-    unigram = unigram_log10(counts, model.total, model.types, model.discount)
+    unigram: np.ndarray  # probability of each token
+    learns: np.ndarray  # whether the text trains
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # n-grams (columns, in order), their contexts' ranks, where tokens have one, and which it is
+
 
+def _walk(model: _Model, row: dict, first: int, last: int) -> _Walk:
+    """The n-grams of the levels ``first`` to ``last``."""
+    lengths, flat, totals = np.array(row["lengths"], np.int64), _unzip(row["tokens"], np.uint32), _unzip(row["totals"], np.uint64).astype(np.int64)
     size = len(flat) + len(lengths)
     starts = np.cumsum(lengths) - lengths + np.arange(len(lengths))
     place = np.ones(size, bool)
     place[starts] = False
-    words, low, nodes = np.full(size, model.words, np.int64), np.zeros(size), np.full(size, -1)
-    words[place], low[place] = number[flat], unigram[flat]
-    nodes[place] = np.where(counts > 0, number, -1)[flat]  # a context that no training text has leads nowhere
-    nodes[starts] = model.words if model.begins else -1
-    keys, back, ok = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(size, bool)
-    for level in range(1, upto + 1):
-        context = np.r_[-1, nodes[:-1]]
-        context[starts] = -1
-        ok = context >= 0
-        keys, back = np.unique(context[ok] * (model.words + 1) + words[ok], return_inverse=True)
-        nodes = np.full(size, -1)
-        if level < upto and len(keys):
-            shard = model.shard_of(level, keys)
-            order = np.argsort(shard, kind="stable")
-            logs, node = np.empty(len(keys)), np.full(len(keys), -1)
-            logs[order] = np.concatenate([_unzip(x["a"], np.float32) for x in answers[level]])
-            if answers[level][0]["b"] is not None:  # the nodes of the last level lead nowhere
-                node[order] = np.concatenate([_open_nodes(x["b"]) for x in answers[level]])
-                node[node >= 0] += model.first[level][shard[node >= 0]]
-            unseen = np.isnan(logs)
-            if unseen.any():
-                first = np.empty(len(keys))
-                first[back] = low[ok]
-                logs[unseen] = model.bow[level - 1][model.find_hot(level, keys[unseen] // (model.words + 1))] + first[unseen]
-            low[ok], nodes[ok] = logs[back], node[back]
-    return _Walk(counts, unigram, place, low, keys, back, ok)
-
-
-def _pack_nodes(node: np.ndarray) -> bytes:
-    """Node numbers in order, -1 among them."""
-    seen = node >= 0
-    return _zip(np.r_[np.frombuffer(np.int64(len(node)).tobytes(), np.uint8), np.packbits(seen), np.frombuffer(np.diff(node[seen], prepend=0).astype(np.uint32).tobytes(), np.uint8)])
-
-
-def _open_nodes(packed: bytes) -> np.ndarray:
-    raw = _unzip(packed, np.uint8)
-    n = int(raw[:8].view(np.int64)[0])
-    cut = 8 + -(-n // 8)
-    out = np.full(n, -1, np.int64)
-    out[np.unpackbits(raw[8:cut], count=n).astype(bool)] = np.cumsum(np.frombuffer(raw[cut:].tobytes(), np.uint32).astype(np.int64))
-    return out
+    words, p = np.full(size, model.words, np.int64), np.ones(size)
+    words[place] = _unzip(row["number"], np.uint32)[flat]
+    p[place] = unigrams(totals, model.total, model.types, model.discount)[flat]
+    depth = np.arange(size) - np.repeat(starts, lengths + 1)
+    rank, levels = words, []
+    for level in range(1, last + 1):
+        ok = np.flatnonzero(depth >= level)
+        keys, at, back = np.unique(rank[ok - 1] * (model.words + 1) + words[ok], return_index=True, return_inverse=True)
+        if level >= first:
+            levels.append((np.stack([words[ok[at] - level + j] for j in range(level + 1)]), rank[ok[at] - 1], ok, back))
+        rank = np.full(size, -1)
+        rank[ok] = back
+    return _Walk(place, p, np.repeat(np.array(row["train"], bool), lengths + 1), levels)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -235,94 +250,108 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _ask_grams(model: _Model, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            walk = _walk(model, row, level)
-            if not len(walk.keys):
+            walk = _walk(model, row, level, level)
+            grams, _, ok, back = walk.levels[0]
+            if not grams.size:
                 continue
-            learns = np.repeat(np.array(row["train"], bool), np.array(row["lengths"], np.int64) + 1)[walk.ok]
-            counts = np.bincount(walk.back[learns], minlength=len(walk.keys)).astype(np.uint32)
-            low = np.empty(len(walk.keys), np.float32)
-            low[walk.back] = walk.low[walk.ok]
-            shard = model.shard_of(level, walk.keys)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(shard[part[0]])], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([_zip(np.diff(walk.keys[part], prepend=0))], pa.binary()), pa.array([_zip(counts[part])], pa.binary()), pa.array([_zip(low[part])], pa.binary())],
-                    names=["shard", "block", "keys", "counts", "low"],
-                )
+            counts = np.bincount(back[walk.learns[ok]], minlength=grams.shape[1])
+            entries = np.vstack([grams, counts]).astype(np.uint32)
+            shard, _ = model.shard_of(level, grams)
+            parts, packed = _by_shard(shard, model.shards)[1], []
+            for part in parts:
+                some = entries[:, part]
+                some[0] = np.diff(some[0], prepend=np.uint32(0))  # in order, so differences are small
+                packed.append(_zip(some))
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array(packed, pa.binary())], names=["shard", "block", "grams"])
 
     return run
 
 
-def _learn(model: _Model, level: int, last: bool):
+def _learn(model: _Model, level: int, hot_share: int):
     """A shard's trie, and its answers: one for each block, and one row with what the shard holds."""
 
     def run(table: pa.Table) -> pa.Table:
         v, shard, blocks = model.words, table.column("shard")[0].as_py(), table.column("block").to_pylist()
-        keys = [np.cumsum(_unzip(k, np.int64)) for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([_unzip(c, np.uint32) for c in table.column("counts").to_pylist()])
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        keys, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        n = np.bincount(back, weights=counts).astype(np.int64)
-        low = np.concatenate([_unzip(x, np.float32) for x in table.column("low").to_pylist()])[at].astype(float)
-        contexts, parent = np.unique(keys // (v + 1), return_inverse=True)
-        word = keys % (v + 1)
-        hot = model.find_hot(level, contexts)
-        followed = np.bincount(parent, n, len(contexts))
-        followed[hot >= 0] = model.hot[level - 1][1][hot[hot >= 0]]
+        asked = [_unzip(g, np.uint32).reshape(level + 2, -1) for g in table.column("grams").to_pylist()]
+        sizes = np.array([a.shape[1] for a in asked])
+        grams = np.concatenate(asked, axis=1).astype(np.int64)
+        grams[0] = np.concatenate([np.cumsum(a[0], dtype=np.int64) for a in asked])
+        context = np.unique(grams[0], return_inverse=True)[1]
+        for j in range(1, level):
+            context = np.unique(context * (v + 1) + grams[j], return_inverse=True)[1]
+        keys, back = np.unique(context * (v + 1) + grams[level], return_inverse=True)
+        n = np.bincount(back, weights=grams[level + 1]).astype(np.int64)
+        parent, word = keys // (v + 1), keys % (v + 1)
+        parents, one = int(parent[-1]) + 1, np.empty(len(keys), np.int64)
+        one[back] = np.arange(len(back))  # a place in ``grams`` where each is
+        of_parent = np.empty(parents, np.int64)
+        of_parent[parent] = one
+        hot = model.find_hot(level, grams[:level, of_parent], _hash(grams[:level, of_parent]))
+        followed = np.bincount(parent, n, parents)
+        followed[hot >= 0] = model.hot[level - 1][2][hot[hot >= 0]]
         seen = n > 0
-        alpha = np.log10((n[seen] - model.discount) / followed[parent[seen]])
-        if len(alpha):
-            book = codebook(alpha)
-            alpha = book[quantised(alpha, book)]
-        taken, shorter = np.bincount(parent[seen], 10.0**alpha, len(contexts)), np.bincount(parent[seen], 10.0 ** low[seen], len(contexts))
-        bow = backoff_log10(taken, shorter)
-        bow[hot >= 0] = 0.0
-        trie = Trie.build(v, [{"parent": parent[seen], "successor": word[seen], "alpha": alpha, "bow": bow, "parents": len(contexts), "universe": v + 1}])
+        alpha = grid_code((n[seen] - model.discount) / followed[parent[seen]])
+        taken = np.bincount(parent[seen], grid_value(alpha), parents)
+        bow = np.where((followed > 0) & (hot < 0), grid_code(np.clip(1 - taken, 1e-12, 1)), 0).astype(np.uint16)
+        trie = Trie.build([{"parent": parent[seen], "successor": word[seen], "alpha": alpha, "bow": bow, "parents": parents, "universe": v + 1}])
         node = trie.find(0, parent, word)
-        logs = trie.bow(0, parent) + low
-        logs[node >= 0] = trie.alpha(0, node[node >= 0])
-        logs[(node < 0) & (hot >= 0)[parent]] = np.nan  # the weight is known when all shards have answered
-        logs, often = logs.astype(np.float32), np.flatnonzero(n * _HOT > model.total)
-        m = len(blocks)
+        found = np.where(node >= 0, trie.alpha(0, node), 0).astype(np.uint16)
+        ends = np.cumsum(sizes)
+        run_start = np.r_[True, np.diff(context) != 0]
+        run_start[ends[:-1]] = True
+        weights, runs = trie.bow(0, context[run_start]), np.cumsum(run_start)[ends - 1]
+        often, m = np.flatnonzero(n * hot_share > model.total), len(blocks)
         return pa.table({
-            "shard": pa.array([shard] * (m + 1), pa.int32()), "block": pa.array([*blocks, None], pa.int64()), "a": pa.array([*(_zip(x) for x in np.split(logs[back], cut)), None], pa.binary()),
-            "b": pa.array([None if last else _pack_nodes(x) for x in np.split(node[back], cut)] + [None], pa.binary()), "size": pa.array([None] * m + [int(seen.sum())], pa.int64()),
-            "often": pa.array([None] * m + [[{"node": int(node[i]), "n": int(n[i])} for i in often]], _OFTEN),
-            "parts": pa.array([None] * m + [[{"context": int(contexts[i]), "taken": float(taken[i]), "shorter": float(shorter[i])} for i in np.flatnonzero(hot >= 0)]], _PARTS),
+            "shard": pa.array([shard] * (m + 1), pa.int32()), "block": pa.array([*blocks, None], pa.int64()), "a": pa.array([*(_zip(x) for x in np.split(found[back], ends[:-1])), None], pa.binary()),
+            "b": pa.array([*(_zip(x) for x in np.split(weights, runs[:-1])), None], pa.binary()), "size": pa.array([None] * m + [int(seen.sum())], pa.int64()),
+            "often": pa.array([None] * m + [[{"gram": grams[: level + 1, one[i]].tolist(), "n": int(n[i])} for i in often]], _OFTEN),
+            "parts": pa.array([None] * m + [[{"place": int(hot[i]), "taken": float(taken[i])} for i in np.flatnonzero(hot >= 0)]], _PARTS),
         })
 
     return run
 
 
 def _score(model: _Model, order: int):
+    def scores(row: dict) -> tuple[np.ndarray, ...]:
+        walk, lengths, flat = _walk(model, row, 1, order - 1), np.array(row["lengths"], np.int64), _unzip(row["tokens"], np.uint32)
+        p, totals = walk.unigram, _unzip(row["totals"], np.uint64).astype(np.int64)
+        answers: list[list[dict]] = [[] for _ in range(order)]
+        for answer in sorted(row["answers"] or [], key=lambda x: x["shard"]):
+            answers[answer["level"]].append(answer)
+        for level, (grams, context, ok, back) in enumerate(walk.levels, 1):
+            if not grams.size:
+                break
+            shard, hot = model.shard_of(level, grams)
+            by, _ = _by_shard(shard, model.shards)
+            alpha, weight = np.empty(len(by)), np.empty(len(by))
+            alpha[by] = grid_value(np.concatenate([_unzip(x["a"], np.uint16) for x in answers[level]]))
+            start = np.r_[True, (np.diff(context[by]) != 0) | (np.diff(shard[by]) != 0)]
+            codes = np.concatenate([_unzip(x["b"], np.uint16) for x in answers[level]])[np.cumsum(start) - 1]
+            weight[by] = np.where(codes > 0, grid_value(codes), 1.0)  # a context that no training text has changes nothing
+            weight[hot >= 0] = model.left[level - 1][hot[hot >= 0]]
+            p[ok] = alpha[back] + weight[back] * p[ok]
+        base = np.log10((totals + 1) / (model.total + model.types + 1))
+        at = np.cumsum(lengths) - lengths
+        return lengths, np.add.reduceat((totals > 0)[flat].astype(np.int64), at), np.add.reduceat(base[flat], at), np.add.reduceat(np.log10(np.maximum(p[walk.place], 1e-300)), at)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, row = batch.column("ids").slice(k, 1).flatten(), batch.select(["train", "lengths", "tokens", "words", "answers"]).slice(k, 1).to_pylist()[0]
-                walk, lengths, flat = _walk(model, row, order), np.array(row["lengths"], np.int64), _unzip(row["tokens"], np.uint32)
-                base = np.log10((walk.counts + 1) / (model.total + model.types + 1))
-                at = np.cumsum(lengths) - lengths
+                ids, row = batch.column("ids").slice(k, 1).flatten(), batch.select(["train", "lengths", "tokens", "number", "totals", "answers"]).slice(k, 1).to_pylist()[0]
+                lengths, known, base, score = scores(row)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([not t for t in row["train"]], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat((walk.counts > 0)[flat].astype(np.int64), at)), pa.array(np.full(len(at), model.total, np.int64)),
-                     pa.array(np.add.reduceat(base[flat], at)), pa.array(np.add.reduceat(walk.low[walk.place], at))],
+                    [ids, pa.array([not t for t in row["train"]], pa.bool_()), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), model.total, np.int64)), pa.array(base), pa.array(score)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     return run
 
 
-def backoff_log10(taken: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """From the probability of what was seen in each context, and what the same words have one word shorter."""
-    out = np.log10(np.clip(1 - taken, 1e-9, 1) / np.clip(1 - shorter, 1e-9, None))
-    out[taken == 0] = 0.0
-    return out
-
-
-def unigram_log10(counts: np.ndarray, total: int, types: int, discount: float) -> np.ndarray:
+def unigrams(counts: np.ndarray, total: int, types: int, discount: float) -> np.ndarray:
     """Absolute discounting; the discounted mass is that of the one event "unseen"."""
     if not total:
-        return np.zeros(len(counts))
-    return np.log10(np.where(counts > 0, np.maximum(counts - discount, 1e-9), discount * types) / total)
+        return np.ones(len(counts))
+    return np.where(counts > 0, np.maximum(counts - discount, 1e-9), discount * types) / total
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, order: int = 3, block_tokens: int = 1 << 20) -> DataFrame:
@@ -333,59 +362,51 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType
     rows = rows.withColumn("train", fold("doc_id", modulus) != held_out)
-    schema = T.StructType.fromDDL("block long, train array<boolean>, lengths array<int>, tokens binary, words binary, counts binary")
-    schema = T.StructType([schema["block"], T.StructField("ids", T.ArrayType(id_type)), *schema.fields[1:]])
-    blocks = scratch.table("blocks", rows.mapInArrow(_blocks(block_tokens), schema), "uncompressed")
+    plain = T.StructType.fromDDL("block long, train array<boolean>, lengths array<int>, tokens binary, words binary, counts binary, number binary, totals binary")
+    ids = T.StructField("ids", T.ArrayType(id_type))
+    columns = [plain["block"], ids, plain["train"], plain["lengths"], plain["tokens"]]
+    blocks = scratch.table("blocks", rows.mapInArrow(_blocks(block_tokens), T.StructType([*columns, plain["words"], plain["counts"]])), "uncompressed")
 
     n_blocks = blocks.count()
-    bits = min(12, max(0, (n_blocks - 1).bit_length()))
-    asked = blocks.select("block", "words", "counts").mapInArrow(_ask(bits), "shard int, block long, words binary, counts binary")
-    totals = asked.groupBy("shard").applyInArrow(_answer, "shard int, block long, a binary, b binary, stats array<bigint>, often array<struct<node:long,n:long>>")
-    totals = scratch.table("totals", totals, "uncompressed")
-    stats = totals.where("block IS NULL").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    sums = np.zeros(5, np.int64)
-    for r in stats:
-        sums[r.i] = r.x
-    types, total, once, twice = (int(x) for x in sums[:4])
-    discount = min(0.9, max(0.05, once / max(1, once + 2 * twice)))
-
-    first, often = _numbered(totals.where("block IS NULL").select("shard", F.element_at("stats", 5).alias("size"), "often"), 1 << bits, total)
-    begins = int(blocks.select(F.explode("train").alias("t")).where("t").count())
-    model = _Model(bits, max(1, min(4096, n_blocks)), int(first[-1]), total, types, begins, discount, [first[:-1]])
-    often.append((model.words, begins))
-
-    answers = totals.where("block IS NOT NULL").select("block", F.lit(0).alias("level"), "shard", "a", "b")
-    columns = ("block", "train", "lengths", "tokens", "words")
+    shards = max(1, n_blocks // 8)  # a block's dictionary is a fraction of its tokens
+    asked = blocks.select("block", "words", "counts").mapInArrow(_ask(shards), "shard int, block long, words binary, counts binary")
+    totals = scratch.table("words", asked.groupBy("shard").applyInArrow(_answer(shards), _ANSWER + ", stats array<long>"), "uncompressed")
+    held = totals.where("block IS NULL")
+    types, total, once, twice = held.agg(*(F.coalesce(F.sum(F.element_at("stats", i)), F.lit(0)) for i in range(1, 5))).first()
+    words = shards * (held.agg(F.max("size")).first()[0] or 0)
+    if words >= (1 << 32) - 1:
+        raise ValueError("too many words for numbers of 32 bits")
+    begins = blocks.select(F.explode("train").alias("t")).where("t").count()
+    model = _Model(max(1, n_blocks), words, total, types, min(0.9, max(0.05, once / max(1, once + 2 * twice))))
+    share = min(max(model.shards, _HOT[0]), _HOT[1])
+    often = [*_often(held, share, total), ([words], begins)]
+    numbered = _with_answers(blocks, totals.where("block IS NOT NULL").select("block", F.lit(0).alias("level"), "shard", "a", "b"))
+    numbered = numbered.mapInArrow(_number(shards), T.StructType([*columns, plain["number"], plain["totals"]]))
+    numbered = scratch.table("numbered", numbered, "uncompressed")
+    scratch.drop("blocks", "words")
+
+    answers = spark.createDataFrame([], "block long, level int, shard int, a binary, b binary")
     for level in range(1, order):
-        if int(first[-1]) * (model.words + 1) >= 1 << 63:
-            raise ValueError("too many n-grams and words for keys of 64 bits")
-        often = sorted((node, n) for node, n in often if n * _HOT > total)
-        model.hot.append((np.array([x for x, _ in often], np.int64), np.array([n for _, n in often], np.int64)))
-        asked = _with_answers(blocks.select(*columns), answers).mapInArrow(_ask_grams(model, level), "shard int, block long, keys binary, counts binary, low binary")
-        learned = asked.groupBy("shard").applyInArrow(_learn(model, level, level == order - 1), "shard int, block long, a binary, b binary, size long, often array<struct<node:long,n:long>>, parts array<struct<context:long,taken:double,shorter:double>>")
+        model.add_hot([x for x in often if x[1] * share > total], level)
+        asked = numbered.select("block", "train", "lengths", "tokens", "number", "totals").mapInArrow(_ask_grams(model, level), "shard int, block long, grams binary")
+        learned = asked.groupBy("shard").applyInArrow(_learn(model, level, share), _ANSWER + ", parts array<struct<place:int,taken:double>>")
         learned = scratch.table(f"grams-{level}", learned, "uncompressed")
         held = learned.where("block IS NULL")
-        first, often = _numbered(held.select("shard", "size", "often"), model.shards, total)
-        bow = np.zeros(len(model.hot[-1][0]))
-        for r in held.select(F.inline("parts")).groupBy("context").agg(F.sum("taken").alias("taken"), F.sum("shorter").alias("shorter")).collect():  # the hot contexts
-            bow[model.find_hot(level, np.array([r.context]))] = backoff_log10(np.array([r.taken]), np.array([r.shorter]))
-        model.first.append(first[:-1])
-        model.bow.append(bow)
+        often, left = _often(held, share, total), np.ones(len(model.hot[-1][0]))
+        for r in held.select(F.inline("parts")).groupBy("place").agg(F.sum("taken").alias("taken")).collect():  # the hot contexts
+            left[r["place"]] = min(1.0, max(1e-12, 1 - r["taken"]))
+        model.left.append(left)
         answers = answers.union(learned.where("block IS NOT NULL").select("block", F.lit(level).alias("level"), "shard", "a", "b"))
 
     out = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-    return _with_answers(blocks.select(*columns, "ids"), answers).mapInArrow(_score(model, order), out)
+    return _with_answers(numbered, answers).mapInArrow(_score(model, order), out)
 
 
 def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "a", "b")).alias("answers")), "block")  # a row for each shard and level
+    return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "a", "b")).alias("answers")), "block", "left")  # a row for each shard and level
 
 
-def _numbered(held: DataFrame, shards: int, total: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Where each shard's numbers begin, and at last their end; and (number, count) of what over a 1024th of all tokens is."""
-    sizes = np.zeros(shards + 1, np.int64)
-    for r in held.select("shard", "size").collect():  # one for each shard
-        sizes[r["shard"] + 1] = r["size"]
-    first = np.cumsum(sizes)
-    often = held.select("shard", F.inline("often")).where(F.col("n") * _HOT > total).collect()  # 1024 at most
-    return first, [(int(first[r["shard"]]) + r["node"], r["n"]) for r in often]
+def _often(held: DataFrame, share: int, total: int) -> list[tuple[list[int], int]]:
+    """(n-gram, count) of what over one in ``share`` of all tokens is: fewer than ``share``."""
+    rows = held.select(F.inline("often")).where(F.col("n") * F.lit(share) > F.lit(total)).collect()
+    return [(r["gram"], r["n"]) for r in rows]

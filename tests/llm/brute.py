@@ -91,30 +91,33 @@ def unigram_scores(rows):
     return [(fold(i, 7) == 2, len(ts), sum(counts[t] > 0 for t in ts), n, sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts)) for (i, _), ts in zip(rows, tokens)]
 
 
-def backoff_scores(rows, order):
-    """id -> log10 probability by absolute discounting and back-off over all n-grams of the training texts."""
-    texts = {i: ["<s>", *(x.lower() for x in words(t)), "</s>"] for i, t in rows}
-    counts, after = Counter(), {}
-    for i, w in texts.items():
+def model_probability(rows, order):
+    """p(context, word) by absolute discounting, interpolated with the context one word shorter, over all n-grams of the
+    training texts; and the events that have a probability of their own."""
+    counts = Counter()
+    for i, t in rows:
         if fold(i, 7) != 2:
-            for k in range(1, len(w)):
-                for n in range(min(order, k + 1)):
-                    gram = tuple(w[k - n : k + 1])
-                    counts[gram] += 1
-                    after.setdefault(gram[:-1], set()).add(gram[-1])
+            w = ["<s>", *(x.lower() for x in words(t)), "</s>"]
+            counts.update(tuple(w[k - n : k + 1]) for k in range(1, len(w)) for n in range(min(order, k + 1)))
     single = {g: c for g, c in counts.items() if len(g) == 1}
     total, once, twice = sum(single.values()), sum(c == 1 for c in single.values()), sum(c == 2 for c in single.values())
     d = min(0.9, max(0.05, once / max(1, once + 2 * twice)))
+    followed, kinds = Counter(), Counter()
+    for g, c in counts.items():
+        followed[g[:-1]] += c
+        kinds[g[:-1]] += 1
 
     def p(context, word):
         if not context:
             return (counts[word,] - d if counts[word,] else d * len(single)) / total
-        if context not in after:
-            return p(context[1:], word)
-        followed = sum(counts[*context, x] for x in after[context])
-        if counts[*context, word]:
-            return (counts[*context, word] - d) / followed
-        rest = 1 - sum(p(context[1:], x) for x in after[context])
-        return min(1, max(1e-9, d * len(after[context]) / followed)) / max(1e-9, rest) * p(context[1:], word)
+        shorter, n = p(context[1:], word), followed[context]
+        return shorter if not n else (max(0, counts[*context, word] - d) + d * kinds[context] * shorter) / n
+
+    return p, [g[0] for g in single]
 
+
+def model_scores(rows, order):
+    """id -> log10 probability of the text."""
+    p, _ = model_probability(rows, order)
+    texts = {i: ["<s>", *(x.lower() for x in words(t)), "</s>"] for i, t in rows}
     return {i: sum(math.log10(p(tuple(w[max(0, k - order + 1) : k]), w[k])) for k in range(1, len(w))) for i, w in texts.items()}
