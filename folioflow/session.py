@@ -60,8 +60,14 @@ class Scratch:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def table(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        """Write ``df`` and return it as read back."""
-        df.write.option("compression", codec).parquet(f"{self.root}/{name}")
+        """Write ``df`` and return it as read back. What was shuffled for it is deleted when it is written."""
+        conf, cleanup = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(cleanup, "false")
+        conf.set(cleanup, "true")
+        try:
+            df.write.option("compression", codec).parquet(f"{self.root}/{name}")
+        finally:
+            conf.set(cleanup, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
