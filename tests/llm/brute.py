@@ -91,33 +91,39 @@ def unigram_scores(rows):
     return [(fold(i, 7) == 2, len(ts), sum(counts[t] > 0 for t in ts), n, sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts)) for (i, _), ts in zip(rows, tokens)]
 
 
-def model_probability(rows, order):
+def grid(p, step=1024):
+    """The next value of the logarithmic grid not above p."""
+    return 10 ** (-math.ceil(-math.log10(p) * step - 1e-9) / step)
+
+
+def model_probability(rows, order, rounded=lambda p: p):
     """p(context, word) by absolute discounting, interpolated with the context one word shorter, over all n-grams of the
-    training texts; and the events that have a probability of their own."""
-    counts = Counter()
+    training texts; and the events that have a probability of their own. ``rounded``: what is stored of a probability."""
+    counts, after = Counter(), {}
     for i, t in rows:
         if fold(i, 7) != 2:
-            w = ["<s>", *(x.lower() for x in words(t)), "</s>"]
-            counts.update(tuple(w[k - n : k + 1]) for k in range(1, len(w)) for n in range(min(order, k + 1)))
-    single = {g: c for g, c in counts.items() if len(g) == 1}
-    total, once, twice = sum(single.values()), sum(c == 1 for c in single.values()), sum(c == 2 for c in single.values())
+            w = [b"<s>", *(x.lower() for x in words(t)), b"</s>"]
+            for gram in (tuple(w[k - n : k + 1]) for k in range(1, len(w)) for n in range(min(order, k + 1))):
+                counts[gram] += 1
+                after.setdefault(gram[:-1], set()).add(gram[-1])
+    single = [counts[w,] for w in after[()]]
+    total, once, twice = sum(single), single.count(1), single.count(2)
     d = min(0.9, max(0.05, once / max(1, once + 2 * twice)))
-    followed, kinds = Counter(), Counter()
-    for g, c in counts.items():
-        followed[g[:-1]] += c
-        kinds[g[:-1]] += 1
+    followed = {c: sum(counts[*c, x] for x in words) for c, words in after.items()}
+    stored = {g: rounded((n - d) / followed[g[:-1]]) for g, n in counts.items() if len(g) > 1}
+    left = {c: 1 - sum(stored[*c, x] for x in words) for c, words in after.items() if c}
 
     def p(context, word):
         if not context:
             return (counts[word,] - d if counts[word,] else d * len(single)) / total
-        shorter, n = p(context[1:], word), followed[context]
-        return shorter if not n else (max(0, counts[*context, word] - d) + d * kinds[context] * shorter) / n
+        shorter = p(context[1:], word)
+        return stored.get((*context, word), 0) + rounded(left[context]) * shorter if context in left else shorter
 
-    return p, [g[0] for g in single]
+    return p, sorted(after[()])
 
 
-def model_scores(rows, order):
+def model_scores(rows, order, rounded=grid):
     """id -> log10 probability of the text."""
-    p, _ = model_probability(rows, order)
-    texts = {i: ["<s>", *(x.lower() for x in words(t)), "</s>"] for i, t in rows}
+    p, _ = model_probability(rows, order, rounded)
+    texts = {i: [b"<s>", *(x.lower() for x in words(t)), b"</s>"] for i, t in rows}
     return {i: sum(math.log10(p(tuple(w[max(0, k - order + 1) : k]), w[k])) for k in range(1, len(w))) for i, w in texts.items()}

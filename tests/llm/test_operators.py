@@ -324,8 +324,8 @@ def test_scores_equal_brute_force(spark, order):
     for block_tokens in (100, 1 << 20):  # many shards, and one
         got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), order=order, block_tokens=block_tokens).collect()
         assert len(got) == len(rows)
-        for r in got:  # codes are rounded down to a grid
-            assert abs(r.score - want[r.doc_id]) < 0.002 * (order - 1) * r.n_tokens + 1e-4
+        for r in got:  # a hot context's weight is not rounded
+            assert abs(r.score - want[r.doc_id]) < 0.001 * (order - 1) * r.n_tokens + 1e-6
 
 
 def test_scores_of_odd_rows_equal_brute_force(spark, docs, rows):
@@ -333,15 +333,15 @@ def test_scores_of_odd_rows_equal_brute_force(spark, docs, rows):
     rows = [(k, t) for k, (_, t) in enumerate(rows)]
     want = brute.model_scores(rows, 3)
     got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), block_tokens=500).collect()
-    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 0.004 * r.n_tokens + 1e-4 for r in got)
+    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 0.002 * r.n_tokens + 1e-6 for r in got)
 
 
 def test_model_adds_up_to_one():
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices("abcdefgh", weights=range(1, 9), k=30))) for i in range(60)]
     p, events = brute.model_probability(rows, 3)
-    for context in [("a", "b"), ("h", "h"), ("<s>", "h"), ("zz", "a"), ("zz", "yy")]:
-        assert abs(sum(p(context, w) for w in [*events, "never seen"]) - 1) < 1e-9
+    for context in [(b"a", b"b"), (b"h", b"h"), (b"<s>", b"h"), (b"zz", b"a"), (b"zz", b"yy")]:
+        assert abs(sum(p(context, w) for w in [*events, b"never seen"]) - 1) < 1e-9
 
 
 def test_grid_and_trie_in_a_file(tmp_path):
