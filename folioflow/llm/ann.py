@@ -4,15 +4,17 @@
 goes to the list of its nearest centroid and, near a boundary, also to the lists of others within ``closure`` times that
 distance, ``replicas`` at most. Lists are cut into parts of ``list_rows``, so no task gets an unbounded list.
 
-*Search.* The centroids form a neighbour graph that each task holds in memory; queries walk it best first. Of the centroids
-found, those within ``ratio`` times the distance of the nearest are searched. A list part and the queries that want it
-meet in one task, which returns the best of the part for each query; the best over all parts are the answer.
+*Search.* The centroids form a neighbour graph that each task holds in memory; queries walk it best first, until no centroid
+within ``ratio`` times the distance of the nearest is left to walk from. All of those found are searched, however many.
+A list part and the queries that want it meet in one task, which returns the best of the part for each query; the best
+over all parts are the answer.
 
 Equal vectors are one entry with its k + 1 smallest ids, found before anything is dealt out: enough for k answers that
 leave out the query itself, so a vector that a third of all rows share costs one entry. Cosines are computed in double
 precision on the original vectors, the same way wherever a vector lies. Vectors that are null, zero, or hold nulls or
-values that are not finite take no part; nor do null ids and vectors of another length than the most common one.
-Repeated rows count once. An id with several vectors answers with its best one. With too few candidates all are returned.
+values that are not finite take no part; nor do null ids. Shorter vectors count as followed by zeros. Ties go to the smaller
+id. Repeated rows count once. An id with several vectors answers with its best one. With too few candidates all are
+returned. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -76,25 +78,25 @@ class CentroidGraph:
         forth = np.roll(np.arange(len(c)), -1)
         return cls(c, np.column_stack([near, back, forth]), np.linspace(0, len(c) - 1, min(entries, len(c))).astype(int))
 
-    def search(self, q: np.ndarray, beam: int) -> np.ndarray:
-        """Numbers of the ``beam`` nearest centroids met on a best-first walk, nearest first."""
-        c, beam = self.centroids, min(beam, len(self.centroids))
-        seen = np.zeros(len(c), bool)
+    def search(self, q: np.ndarray, ratio: float, beam: int = 64) -> np.ndarray:
+        """Numbers of the centroids within ``ratio`` times the distance of the nearest. The walk goes on from all of those
+        met, and from the ``beam`` nearest if they are fewer."""
+        c = self.centroids
+        dist = np.full(len(c), np.inf)
         done = np.zeros(len(c), bool)
-        seen[self.entry] = True
-        pool = self.entry
-        score = c[pool] @ q
+        new = self.entry
         while True:
-            order = np.argsort(-score, kind="stable")[:beam]
-            pool, score = pool[order], score[order]
-            todo = pool[~done[pool]][:8]
+            dist[new] = np.sqrt(np.maximum(0, 2 - 2 * (c[new] @ q)))
+            met = np.flatnonzero(dist < np.inf)
+            least = dist[met].min()
+            wide = np.partition(dist[met], min(beam, len(met)) - 1)[min(beam, len(met)) - 1]
+            todo = met[~done[met] & (dist[met] <= max(wide, ratio * least + 1e-12))]
             if not len(todo):
-                return pool
+                return met[dist[met] <= ratio * least + 1e-12]
+            todo = todo[np.argsort(dist[todo], kind="stable")[:32]]
             done[todo] = True
             new = np.unique(self.neighbours[todo])
-            new = new[~seen[new]]
-            seen[new] = True
-            pool, score = np.concatenate([pool, new]), np.concatenate([score, c[new] @ q])
+            new = new[dist[new] == np.inf]
 
 
 def _postings(shared, closure: float, replicas: int, list_rows: int):
@@ -115,16 +117,14 @@ def _postings(shared, closure: float, replicas: int, list_rows: int):
     return run
 
 
-def _wanted(shared, ratio: float, beam: int):
+def _wanted(shared, ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, parts = shared.value
         for batch in batches:
             lists, part, row = [], [], []
             x = np.array(batch.column("v").to_pylist(), float).reshape(batch.num_rows, -1)
             for i, q in enumerate(unit(x) if len(x) else x):
-                found = graph.search(q, beam)
-                d = np.sqrt(np.maximum(0, 2 - 2 * graph.centroids[found] @ q))
-                for l in found[d <= ratio * d[0] + 1e-12].tolist():
+                for l in graph.search(q, ratio).tolist():
                     n = int(parts[l])
                     lists += [l] * n
                     part += range(n)
@@ -162,7 +162,7 @@ def _best(k: int):
     return run
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, list_rows: int = 256, max_lists: int = 4096, sample_rows: int = 16_384, replicas: int = 8, closure: float = 1.15, ratio: float = 1.25, beam: int = 512) -> DataFrame:
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, list_rows: int = 128, max_lists: int = 4096, sample_rows: int = 16_384, replicas: int = 2, closure: float = 1.04, ratio: float = 1.28) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
     ``sample_rows`` bounds the vectors that fit the centroids, ``max_lists`` the centroids; every row is indexed.
@@ -174,10 +174,11 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     # -0.0 and 0.0 are one value
     rows = scratch.table("rows", rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))), "snappy")
     empty = "query_id long, rank int, vec_id long, score double"
-    width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    short, width = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
     if not width:
         return spark.createDataFrame([], empty)
-    rows = rows.where(F.size("v") == width[0].n)
+    if short < width:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
     least = Window.partitionBy("v").orderBy("id")
     # the rank limit is applied before and after rows are dealt out
     entries = rows.dropDuplicates(["id", "v"]).withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
@@ -202,7 +203,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     dealt = lists.withColumn("part", F.pmod(F.col("part"), count))
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), "v")
     shared = spark.sparkContext.broadcast((graph, parts))
-    wanted = queries.mapInArrow(_wanted(shared, ratio, beam), "list long, part long, query_id long, v array<double>")
+    wanted = queries.mapInArrow(_wanted(shared, ratio), "list long, part long, query_id long, v array<double>")
     found = dealt.groupBy("list", "part").cogroup(wanted.groupBy("list", "part")).applyInArrow(_best(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -190,18 +190,45 @@ def test_one_more_shard_moves_little():
 
 
 # 5 nearest neighbours
-def test_recall(spark):
-    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
-    v = np.array(table.column("embedding").to_pylist(), float)
+def nearest(v, every=50, k=5):
     u = v / np.linalg.norm(v, axis=1)[:, None]
-    got = ann.search(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect()
-    ids = table.column("vec_id").to_numpy()
-    hit = 0
-    for q in range(0, len(ids), 50):
+    for q in range(0, len(v), every):
         s = u @ u[q]
         s[q] = -9
-        hit += len({int(ids[i]) for i in np.argsort(-s)[:5]} & {r.vec_id for r in got if r.query_id == ids[q]})
-    assert hit >= 0.9 * 5 * len(range(0, len(ids), 50))
+        yield q, set(np.argsort(-s)[:k].tolist())
+
+
+def clustered(n, groups, width=16, seed=7):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(groups, width))[rng.integers(0, groups, n)] + 0.15 * rng.normal(size=(n, width))
+
+
+@pytest.mark.parametrize("kind", ["table", "clustered"])
+def test_recall(spark, kind):
+    if kind == "table":
+        rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+        v, df = np.array(rows.column("embedding").to_pylist(), float), spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+        assert rows.column("vec_id").to_pylist() == list(range(len(v)))
+    else:
+        v = clustered(6000, 300)
+        df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = dict(nearest(v))
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_the_walk_prunes_and_finds_all_lists_within_the_ratio():
+    v = ann.unit(clustered(20_000, 1000))
+    c = ann.balanced_centroids(v[:8000], 1000)
+    graph, searched = ann.CentroidGraph.build(c), []
+    for q in v[:200]:
+        d = np.sqrt(np.maximum(0, 2 - 2 * c @ q))
+        found, want = set(graph.search(q, 1.28).tolist()), set(np.flatnonzero(d <= 1.28 * d.min() + 1e-12).tolist())
+        assert found <= want and len(found) >= 0.95 * len(want)
+        searched.append(len(found))
+    assert np.mean(searched) < 0.02 * len(c)
 
 
 def test_odd_vectors(spark):
@@ -210,7 +237,8 @@ def test_odd_vectors(spark):
     rows = [(i, same_one) for i in range(40)] + [(i, rng.normal(size=3).tolist()) for i in range(40, 80)]
     rows += [(100, None), (150, [0.0, 0.0, 0.0]), (200, [1.0, None, 2.0]), (250, [float("nan"), 1.0, 1.0]), (300, [1.0, 2.0]), (None, same_one), (0, same_one), (50, [float("inf"), 0.0, 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert {r.query_id for r in got} == {0, 50}
+    assert {r.query_id for r in got} == {0, 50, 300}  # 300 is shorter, so followed by a zero
+    assert [r.score for r in got if r.query_id == 300 and r.rank == 1][0] <= 1
     first = sorted((r.rank, r.vec_id) for r in got if r.query_id == 0)
     assert first == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
