@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.words import SEPARATORS
+from folioflow.llm.words import SEPARATORS, fresh
 from folioflow.session import Scratch
 
 
@@ -129,9 +129,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None,
 
 def realise(docs: DataFrame, rates: DataFrame, *, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part always, the rest by a hash of the id."""
-    r = rates.select(F.col("doc_id").alias("_mix_id"), F.col("rate").alias("_mix_rate"))
+    key, rate, copy = fresh(docs, "_mix_id", "_mix_rate", "_mix_copy")
+    r = rates.select(F.col("doc_id").alias(key), F.col("rate").alias(rate))
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
-    copies = (F.floor("_mix_rate") + F.when(chance < F.col("_mix_rate") - F.floor("_mix_rate"), 1).otherwise(0)).cast("int")
-    rows = docs.join(r, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    rows = rows.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-    return rows.select(*(docs[c] for c in docs.columns))
+    copies = (F.floor(rate) + F.when(chance < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
+    rows = docs.join(r, F.col(id_col).eqNullSafe(F.col(key)))
+    rows = rows.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    return rows.select(*docs.columns)

@@ -15,7 +15,8 @@ Wanted are the words covered by a window of ``window`` consecutive words whose s
 
 Equal texts are one text with a count: with two or more copies and at least one window, all of it repeats. Edges, windows
 and texts are compared by 64-bit hashes (texts by two). Null and empty texts lose nothing and keep the empty text. Nothing
-depends on ids, so null and repeated ids are as good as any.
+depends on ids, so null and repeated ids are as good as any. Ties between equal k-mers go to the leftmost. A very long text
+is one text like any other. An empty table gives an empty result. Other columns are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.words import HASHES, byte_list, mix64, window_hashes
+from folioflow.llm.words import HASHES, byte_list, fresh, mix64, window_hashes
 from folioflow.session import Scratch, ship
 
 
@@ -193,8 +194,10 @@ def repeated_spans(texts: DataFrame, *, window: int = 35, broadcast_bytes: int =
         size = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
         return F.broadcast(table) if size <= broadcast_bytes else table
 
-    whole = texts.select(*_keys(F.col("_text")), "_text")
-    found = whole.join(beside(marked, 40 + 5 * F.size("at")), ["t1", "t2"])
+    whole, near = texts.select(*_keys(F.col("_text")), "_text"), beside(marked, 40 + 5 * F.size("at"))
+    if near is marked:  # then texts are dealt out, copies of one once a task
+        whole = whole.groupBy("t1", "t2").agg(F.first("_text").alias("_text"))
+    found = whole.join(near, ["t1", "t2"])
     found = found.select("id", _settle_udf(window)("_text", "at", "interior").alias("s")).select("id", "s.*")
     # copies of a text give the same row, which is kept once
     found = scratch.table("settled", found.groupBy("id").agg(*(F.first(c).alias(c) for c in ("spans", "starts", "w"))))
@@ -213,19 +216,22 @@ def repeated_spans(texts: DataFrame, *, window: int = 35, broadcast_bytes: int =
     return out
 
 
-def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35, broadcast_bytes: int = 64 << 20, hot_keys: int = 1024) -> DataFrame:
-    """All rows of ``docs`` as they are, with a struct ``repeats``: n (words), removed, kept (the words left, joined by
-    one space) and spans (removed word spans, flat)."""
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", out_col: str = "repeats", window: int = 35, broadcast_bytes: int = 64 << 20, hot_keys: int = 1024) -> DataFrame:
+    """All rows of ``docs`` as they are, with a struct ``out_col``, a name that ``docs`` doesn't have: n (words), removed,
+    kept (the words left, joined by one space) and spans (removed word spans, flat)."""
+    if fresh(docs, out_col) != [out_col]:
+        raise ValueError(f"there is a column {out_col} already")
     if window < 2:
         raise ValueError("a window has two words at least")
     text = F.col(text_col).cast("string")
     spans = repeated_spans(docs.select(text.alias("_text")).where("_text IS NOT NULL"), window=window, broadcast_bytes=broadcast_bytes, hot_keys=hot_keys)
     size = spans.agg(F.coalesce(F.sum(32 + 4 * F.size("spans")), F.lit(0))).first()[0]
-    spans = spans.withColumnsRenamed({"t1": "_t1", "t2": "_t2", "spans": "_spans"})
-    keyed = docs.withColumns({"_d1": _keys(text)[0], "_d2": _keys(text)[1]})
-    found = keyed.join(F.broadcast(spans) if size <= broadcast_bytes else spans, (F.col("_d1") == F.col("_t1")) & (F.col("_d2") == F.col("_t2")), "left")
-    found = found.withColumn("_kept", _keep_udf()(text, F.col("_spans")))
-    return found.select(*docs.columns, F.struct(F.col("_kept.n").alias("n"), F.col("_kept.removed").alias("removed"), F.col("_kept.kept").alias("kept"), F.col("_spans").alias("spans")).alias("repeats"))
+    d1, d2, t1, t2, cut, kept = fresh(docs, "_d1", "_d2", "_t1", "_t2", "_spans", "_kept")
+    spans = spans.withColumnsRenamed({"t1": t1, "t2": t2, "spans": cut})
+    keyed = docs.withColumns({d1: _keys(text)[0], d2: _keys(text)[1]})
+    found = keyed.join(F.broadcast(spans) if size <= broadcast_bytes else spans, (F.col(d1) == F.col(t1)) & (F.col(d2) == F.col(t2)), "left")
+    found = found.withColumn(kept, _keep_udf()(text, F.col(cut)))
+    return found.select(*docs.columns, F.struct(F.col(f"{kept}.n").alias("n"), F.col(f"{kept}.removed").alias("removed"), F.col(f"{kept}.kept").alias("kept"), F.col(cut).alias("spans")).alias(out_col))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:

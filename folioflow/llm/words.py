@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Java form of the word separators.
@@ -25,6 +25,16 @@ def fold(id_col: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def byte_list(texts: pa.Array) -> list[bytes | None]:
     """The texts as UTF-8 bytes, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()

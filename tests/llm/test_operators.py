@@ -184,7 +184,7 @@ def test_one_more_shard_moves_little():
             out |= {(b, r): s for r in range(lo, hi)}
         return out
 
-    for slack, most in ((0.0, 0.45), (0.25, 0.25)):
+    for slack, most in ((0.0, 0.2), (0.25, 0.2)):
         a, b = owners(8, slack), owners(9, slack)
         assert len(a) == len(b) == 40960 and sum(a[k] != b[k] for k in a) < most * len(a)
 
@@ -293,10 +293,11 @@ def test_toxicity_runs_on_odd_tables(docs, rows, labels, none):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in held) >= 0.93 * len(held)
-    assert sum(r.predicted for r in held if not r.toxic) <= 0.01 * len(held)
+    toxic, flagged = sum(r.toxic for r in held), sum(r.predicted for r in held)
+    caught = sum(r.predicted and r.toxic for r in held)
+    assert caught >= 0.8 * toxic and caught >= 0.97 * flagged
 
 
 # 8 substring dedup
@@ -427,10 +428,32 @@ def test_quality_runs_on_odd_tables(docs, rows, labels, none):
     assert quality_mil.classify(none, labels).count() == 0
 
 
-def test_quality_on_held_out_labels(spark, sf_dir):
-    docs, labels = (queries.table(spark, sf_dir, t) for t in ("documents", "labels"))
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = quality_mil.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.quality for r in held) >= 0.93 * len(held)
+    for wanted in (0, 1):
+        right, of, said = (sum(f(r) for r in held) for f in (lambda r: r.predicted == r.quality == wanted, lambda r: r.quality == wanted, lambda r: r.predicted == wanted))
+        assert right >= 0.93 * of and right >= 0.93 * said
+
+
+def test_network_equals_plain_loops():
+    rng = np.random.default_rng(4)
+    texts = [b"a Bc 12 a" * 30, b"", None, b"one two three", bytes(rng.integers(32, 126, 3000, dtype=np.uint8))]
+    bags = [quality_mil.passages(t) for t in texts]
+    assert [len(b) for b in bags] == [max(1, -(-len((t or b"").split()) // quality_mil.PASSAGE)) for t in texts]
+    starts = np.cumsum([0, *map(len, bags)])[:-1]
+    net = quality_mil.train(np.concatenate(bags), starts, np.array([1.0, 0, 0, 1, 1]), steps=5)
+    got, w = net.score(np.concatenate(bags), starts), net.w
+    dot = lambda a, m, j: sum(float(x) * float(m[i][j]) for i, x in enumerate(a))
+    for bag, score in zip(bags, got):
+        hs, es = [], []
+        for row in bag:
+            x = [min(6, max(-6, (float(v) - net.mean[i]) / net.scale[i])) if i < quality_mil.STATS else float(v) for i, v in enumerate(row)]
+            h = [math.tanh(dot(x, w["enc"], j) + w["enc_b"][j]) for j in range(16)]
+            es.append(math.exp(sum(math.tanh(dot(h, w["v"], j)) / (1 + math.exp(-dot(h, w["u"], j))) * w["a"][j] for j in range(8))))
+            hs.append(h)
+        z = [sum(e * h[j] for e, h in zip(es, hs)) / sum(es) for j in range(16)]
+        assert abs(1 / (1 + math.exp(-sum(a * b for a, b in zip(z, w["c"])) - w["c_b"][0])) - score) < 1e-4
 
 
 # pipeline
