@@ -483,3 +483,40 @@ def test_colliding_ids_lose_no_document(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS).repartition(3)
     got = corpus_pipeline.ngram_jaccard_join(spark, docs, None).collect()
     same([(r.doc_id, r.text) for r in got], [(1, a), (1, b), (2, c), (None, "alone"), (4, ""), (4, "")])
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """Other columns with the names that operators use inside."""
+    names = ("_key", "_kept", "_id", "_first", "_text", "_d1", "_t1", "_spans", "repeats", "_quality", "_mix_id", "_mix_rate", "_mix_copy", "_label", "_lid", "t1", "t2", "f", "n", "id", "Word", "train", "rate", "score", "s")
+    return docs.select("*", *(F.concat(F.lit(n), F.col("text")).alias(n) for n in names))
+
+
+def test_stages_on_odd_tables(spark, docs, rows, none, clashing, sf_dir):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0
+        out, plain = stage(spark, clashing, sf_dir), stage(spark, docs, sf_dir).collect()
+        if name == "BPE encoding and decoding":
+            same([tuple(r) for r in out.collect()], [tuple(r) for r in plain])
+            continue
+        assert out.columns == clashing.columns
+        got = out.collect()
+        same([(r.doc_id, r.text) for r in got], [(r.doc_id, r.text) for r in plain])
+        if name != "substring dedup":  # which changes texts
+            assert all(r._d1 == (None if r.text is None else "_d1" + r.text) and r.repeats == (None if r.text is None else "repeats" + r.text) for r in got)
+    want = brute.repeats([t for _, t in rows])
+    same([(r.doc_id, r.text) for r in stages["substring dedup"](spark, docs, sf_dir).collect()], [(i, kept.decode() if gone else t) for (i, t), (n, gone, kept) in zip(rows, want)])
+
+
+@pytest.mark.parametrize("name", ["bpe", "shard", "jaccard", "toxicity", "substrings", "lm", "quality", "rules", "mix"])
+def test_operators_ignore_other_columns(spark, docs, clashing, labels, none, tokenizer, name):
+    run = {
+        "bpe": lambda d: bpe.round_trip(d, tokenizer), "shard": lambda d: sharding.shard(d, 3).select("doc_id", "size", "text_crc32"), "jaccard": lambda d: jaccard_join.join(d).select("doc_id", "n_shingles", "component_id"), "toxicity": lambda d: toxicity.classify(d, labels),
+        "substrings": substring_dedup.dedup, "lm": lambda d: lm_scoring.score(d).select("doc_id", "n_tokens", F.round("score", 6)), "quality": lambda d: quality_mil.classify(d, labels), "rules": lambda d: quality_rules.apply_rules(d, labels)[0],
+        "mix": lambda d: mixing.mix(d, d.select("text", F.col("lang").alias("domain")), {"en": 1.0})[0].select("doc_id", "n_tokens", "domain"),
+    }[name]
+    same([tuple(r) for r in run(clashing).collect()], [tuple(r) for r in run(docs).collect()])
+    assert run(none).count() == 0
