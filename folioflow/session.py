@@ -50,7 +50,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         sc = spark.sparkContext
         base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_folioflow_scratch", None)
-        if not base:  # only where the cluster names none, as in tests
+        if not base:
+            if not sc.master.startswith("local["):  # executors would write to their own disks
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = sc._folioflow_scratch = tempfile.mkdtemp(prefix="folioflow-checkpoints-")
         self.spark = spark
         self.root = f"{base.rstrip('/')}/folioflow-{uuid.uuid4().hex}"
