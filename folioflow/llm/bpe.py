@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm.words import keep_only, pieces
 from folioflow.session import ship
 
 #: The byte-level pre-tokenizer's pattern, with white space as Unicode's White_Space property.
@@ -243,8 +244,9 @@ def emit(labels: list[bytes], ids: bytes | None) -> bytes:
 def _encoder(shared):
     @F.arrow_udf("binary")
     def encode_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keep_only()
         encode = shared.value.encode
-        for texts in batches:
+        for texts in pieces(batches):
             yield pa.array((encode(t.as_py()) for t in texts), pa.binary(), size=len(texts))
 
     return encode_text.asNondeterministic()
@@ -263,8 +265,9 @@ def _decoder(shared):
 def _round_trip_udf(shared):
     @F.arrow_udf("struct<ids:binary,decoded:string>")
     def encode_and_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keep_only()
         encode, labels = shared.value.encode, shared.value.emits
-        for texts in batches:
+        for texts in pieces(batches):
             ids = pa.array((encode(t.as_py()) for t in texts), pa.binary(), size=len(texts))
             decoded = pa.array((emit(labels, i.as_py()) for i in ids), pa.binary(), size=len(ids)).cast(pa.string())
             yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])

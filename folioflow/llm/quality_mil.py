@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.labels import labelled_sample
-from folioflow.llm.words import byte_list, fold
+from folioflow.llm.words import MEMOS, byte_list, fold, keep_only
 from folioflow.session import ship
 
 PASSAGE = 50
@@ -39,14 +39,18 @@ class _Codes(dict):
     """Word to the numbers of its embedding and of its shape's, in one. Starts over when it holds many words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
+        if len(self) >= 100_000:
             self.clear()
-        shape = re.sub(rb"(.)\1{2,}", rb"\1\1", word[:64].translate(_SHAPE), flags=re.S)
+        if len(word) > 1 and word.isalpha() and word.islower():
+            shape = b"aa"
+        else:
+            shape = re.sub(rb"(.)\1{2,}", rb"\1\1", word[:64].translate(_SHAPE), flags=re.S)
         value = self[word] = xxhash.xxh3_64_intdigest(word) % WORDS | xxhash.xxh3_64_intdigest(shape) % SHAPES << 16
         return value
 
 
 CODES = _Codes()
+MEMOS.append(CODES)
 
 
 def encode(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +192,7 @@ def score(docs: DataFrame, network: Network, *, text_col: str = "text", out_col:
     @F.arrow_udf("double")
     def bag_score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
+            keep_only(CODES)
             scores, bags, held = [], [], 0
             for text in [*byte_list(texts), False]:  # the last stands for the end
                 if text is not False:

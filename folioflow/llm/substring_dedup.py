@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.words import HASHES, byte_list, fresh, mix64, window_hashes
+from folioflow.llm.words import HASHES, byte_list, fresh, keep_only, mix64, window_hashes
 from folioflow.session import Scratch, ship
 
 
@@ -91,6 +91,7 @@ def merged(spans: list[int], starts: list[int], window: int) -> list[int]:
 def _edges_udf(window: int):
     @F.arrow_udf("struct<n:int,at:array<int>,e:array<bigint>,code:array<bigint>>")
     def selected_edges(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keep_only(HASHES)
         for texts in batches:
             n, at, e, code, offsets = [], [], [], [], [0]
             for text in byte_list(texts):

@@ -5,6 +5,8 @@ A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, which is what ``byt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -60,6 +62,24 @@ class WordHash(dict):
 
 #: Shared by the operators that run in one worker.
 HASHES = WordHash()
+#: All that workers keep from task to task.
+MEMOS: list[dict] = [HASHES]
+
+
+def keep_only(*own: dict) -> None:
+    """Drop what earlier stages left in this worker, so that a pipeline's stages don't add up."""
+    others = [m for m in MEMOS if m and not any(m is o for o in own)]
+    if others:
+        for memo in others:
+            memo.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def pieces(batches: Iterator[pa.Array], rows: int = 1000) -> Iterator[pa.Array]:
+    """The arrays in slices of at most so many rows, so that what is made of a batch isn't held all at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
