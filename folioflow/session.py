@@ -37,6 +37,8 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent).as_posix())
     sc.addPyFile(target)
+    # rows hold whole texts: batches for Python are bounded by bytes, not only by rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     sc._folioflow_shipped = True
 
 
