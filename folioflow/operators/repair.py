@@ -52,3 +52,18 @@ def covered(source: Column, output: Column, least: int = 600, share: float = 0.2
     """The output, with the source appended where a long source left hardly a trace."""
     short = (F.length(source) >= least) & (F.length(F.regexp_replace(output, r"\s+", "")) < F.length(F.regexp_replace(source, r"\s+", "")) * share)
     return F.when(short, F.concat_ws("\n\n", F.nullif(output, F.lit("")), source)).otherwise(output)
+
+
+def structures_found(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = 10_000) -> DataFrame:
+    """``docs`` with ``found``, the ids of the items whose text they hold, in order, and ``n_missing``, how many they don't.
+
+    Each document is tested against all items in one pass; the items, ``most`` at most, are part of the plan. Items
+    without a text are left out; a null text holds none.
+    """
+    known = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("id"), F.col(item_text).alias("part")).orderBy("id").limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"more than {most} items")
+    kind = items.schema[item_id].dataType.simpleString()
+    listed = F.array(*(F.struct(F.lit(r.id).cast(kind).alias("id"), F.lit(r.part).alias("part")) for r in known)) if known else F.expr(f"cast(array() AS array<struct<id:{kind},part:string>>)")
+    hits = F.transform(F.filter(listed, lambda x: F.coalesce(F.contains(F.col(text_col), x["part"]), F.lit(False))), lambda x: x["id"])
+    return docs.withColumn("found", hits).withColumn("n_missing", F.lit(len(known)) - F.size("found"))

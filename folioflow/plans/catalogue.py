@@ -87,63 +87,72 @@ def block_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.explode(tags).alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_LINE = "concat(CASE doc_id % 8 WHEN 0 THEN '2.1 Alpha ' WHEN 1 THEN '3 Beta ' WHEN 2 THEN 'Results ' WHEN 3 THEN 'Figure 4: ' WHEN 4 THEN 'table A2 ' WHEN 5 THEN 'Table 12. ' WHEN 6 THEN 'fig. 7b ' ELSE '' END, substr(text, 1, 20 + doc_id % 150))"
+#: Every line of every text, numbered.
+_LINES_SQL = "(SELECT doc_id, i AS line_no, l AS text FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda l, i: struct_pack(l := l, i := i)), recursive := true) FROM documents))"
+
+
+def lines(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return rows.withColumn("line_no", (F.col("line_no") + 1).cast("long"))
+
+
+_LINE = "concat(CASE (doc_id + line_no) % 8 WHEN 0 THEN '2.1 Alpha ' WHEN 1 THEN '3 Beta ' WHEN 2 THEN 'Results ' WHEN 3 THEN 'Figure 4: ' WHEN 4 THEN 'table A2 ' WHEN 5 THEN 'Table 12. ' WHEN 6 THEN 'fig. 7b ' ELSE '' END, text)"
 
 
 @query(
     rf"""
-SELECT doc_id, CASE WHEN t <> '' AND length(t) <= 160 AND NOT regexp_matches(t, '^(?i:fig(?:ure)?\.?|table|algorithm)\s*\d+')
+SELECT doc_id, line_no, CASE WHEN t <> '' AND length(t) <= 160 AND NOT regexp_matches(t, '^(?i:fig(?:ure)?\.?|table|algorithm)\s*\d+')
   AND NOT (regexp_matches(t, '[.!?]\s*$') AND NOT regexp_matches(t, '^\d+(\.\d+)*\s+\S+'))
   AND (regexp_matches(t, '^\d+(\.\d+)*\s+[A-Z][A-Za-z0-9 /,&()\-]+') OR regexp_matches(t, '^(?i:abstract|introduction|background|related work|method|methods|model|algorithm|experiment|experiments|results|discussion|conclusion|appendix)\b')
-       OR doc_id % 7 = 0 OR 10 + (doc_id % 3) * 0.5 >= 10.9)
+       OR (doc_id + line_no) % 7 = 0 OR 10 + ((doc_id + line_no) % 3) * 0.5 >= 10.9)
   THEN CASE WHEN regexp_matches(t, '^\d+\.\d+') THEN 3 ELSE 2 END END AS level
-FROM (SELECT doc_id, regexp_replace({_LINE}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM documents)"""
+FROM (SELECT doc_id, line_no, regexp_replace({_LINE}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM {_LINES_SQL})"""
 )
 def heading_levels(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_LINE).alias("t"))
-    size, page = 10 + (F.col("doc_id") % 3) * F.lit(0.5), F.lit(9.9)
-    return docs.select("doc_id", T.heading_level(F.col("t"), size, F.col("doc_id") % 7 == 0, page).alias("level"))
+    rows, n = lines(spark, sf_dir).select("doc_id", "line_no", F.expr(_LINE).alias("t")), F.col("doc_id") + F.col("line_no")
+    return rows.select("doc_id", "line_no", T.heading_level(F.col("t"), 10 + (n % 3) * F.lit(0.5), n % 7 == 0, F.lit(9.9)).alias("level"))
 
 
 @query(
     rf"""
-SELECT doc_id, CASE WHEN k LIKE 'fig%' THEN 'figure' WHEN k LIKE 'table%' THEN 'table' WHEN k <> '' THEN 'algorithm' END AS kind,
-  coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(t, '^(?i:fig(?:ure)?\.?|table|algorithm)\s*([A-Za-z0-9][A-Za-z0-9_.\-]*)', 1), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), cast(doc_id AS varchar)) AS number
-FROM (SELECT doc_id, t, lower(regexp_extract(t, '^((?i:fig(?:ure)?\.?|table|algorithm))\s*\d+', 1)) AS k
-  FROM (SELECT doc_id, regexp_replace({_LINE}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM documents))"""
+SELECT doc_id, line_no, CASE WHEN k LIKE 'fig%' THEN 'figure' WHEN k LIKE 'table%' THEN 'table' WHEN k <> '' THEN 'algorithm' END AS kind,
+  coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(t, '^(?i:fig(?:ure)?\.?|table|algorithm)\s*([A-Za-z0-9][A-Za-z0-9_.\-]*)', 1), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), cast(line_no AS varchar)) AS number
+FROM (SELECT doc_id, line_no, t, lower(regexp_extract(t, '^((?i:fig(?:ure)?\.?|table|algorithm))\s*\d+', 1)) AS k
+  FROM (SELECT doc_id, line_no, regexp_replace({_LINE}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM {_LINES_SQL}))"""
 )
 def caption_kind(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_LINE).alias("t"))
-    return docs.select("doc_id", T.caption_kind(F.col("t")).alias("kind"), T.caption_number(F.col("t"), F.col("doc_id")).alias("number"))
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.expr(_LINE).alias("t"))
+    return rows.select("doc_id", "line_no", T.caption_kind(F.col("t")).alias("kind"), T.caption_number(F.col("t"), F.col("line_no")).alias("number"))
 
 
-_FOOT = "CASE doc_id % 6 WHEN 0 THEN cast(doc_id AS string) WHEN 1 THEN concat('arXiv:', text) WHEN 2 THEN concat('1 see https://x.org ', substr(text, 1, 30)) WHEN 3 THEN concat('Proceedings of ', substr(text, 1, 30)) ELSE substr(text, 1, 60) END"
+_FOOT = "CASE (doc_id + line_no) % 6 WHEN 0 THEN cast(line_no AS string) WHEN 1 THEN concat('arXiv:', text) WHEN 2 THEN concat('1 see https://x.org ', text) WHEN 3 THEN concat('Proceedings of ', text) ELSE text END"
 
 
 @query(
     rf"""
-SELECT doc_id, y0 FROM (SELECT doc_id, (doc_id * 37) % 800 AS y0, 8.0 + doc_id % 3 AS size, regexp_replace({_FOOT.replace("string", "varchar")}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM documents)
+SELECT doc_id, line_no, y0 FROM (SELECT doc_id, line_no, ((doc_id + line_no) * 37) % 800 AS y0, 8.0 + (doc_id + line_no) % 3 AS size, regexp_replace({_FOOT.replace("string", "varchar")}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM {_LINES_SQL})
 WHERE NOT (t = '' OR (regexp_matches(t, '^\d+$') AND y0 > 704)
   OR (y0 > 656 AND regexp_matches(t, '(?i)(Proceedings|Conference on|arXiv|Equal contribution|Contact person|Corresponding author|Project Page|Code:|https?://)'))
   OR (size <= 9.2 AND y0 > 672 AND (regexp_matches(t, '^\d+\s+') OR contains(t, 'http://') OR contains(t, 'https://'))) OR contains(t, 'arXiv:') OR regexp_matches(t, '^[∗*]Equal contribution'))"""
 )
 def noise_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_FOOT).alias("t"), ((F.col("doc_id") * 37) % 800).alias("y0"), (8.0 + F.col("doc_id") % 3).alias("size"))
-    return docs.where(~T.is_noise(F.col("t"), F.col("y0"), F.lit(800.0), F.col("size"))).select("doc_id", "y0")
+    n = F.col("doc_id") + F.col("line_no")
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.expr(_FOOT).alias("t"), ((n * 37) % 800).alias("y0"), (8.0 + n % 3).alias("size"))
+    return rows.where(~T.is_noise(F.col("t"), F.col("y0"), F.lit(800.0), F.col("size"))).select("doc_id", "line_no", "y0")
 
 
-_FORMULA = "CASE doc_id % 7 WHEN 0 THEN concat('(', cast(doc_id AS string), ')') WHEN 1 THEN '3.14' WHEN 2 THEN 'x' WHEN 3 THEN concat('y_i = a + b * ', cast(doc_id AS string)) WHEN 4 THEN substr(text, 1, 80) WHEN 5 THEN 'p(x) ≤ q(x)' ELSE 'zz||' END"
+_FORMULA = "CASE (doc_id + line_no) % 7 WHEN 0 THEN concat('(', cast(doc_id AS string), ')') WHEN 1 THEN '3.14' WHEN 2 THEN 'x' WHEN 3 THEN concat('y_i = a + b * ', text) WHEN 4 THEN 'zz||' WHEN 5 THEN concat('p(x) ≤ q(x)', text) ELSE text END"
 
 
 @query(
     rf"""
-SELECT doc_id, CASE WHEN c = '' OR regexp_matches(c, '^\(\d+\)$') THEN 0 WHEN regexp_matches(c, '^\d+(?:\.\d+)?$') THEN 1 WHEN regexp_matches(c, '^[A-Za-zα-ωΑ-Ωϕφπβθτσµ]$') THEN 2
+SELECT doc_id, line_no, CASE WHEN c = '' OR regexp_matches(c, '^\(\d+\)$') THEN 0 WHEN regexp_matches(c, '^\d+(?:\.\d+)?$') THEN 1 WHEN regexp_matches(c, '^[A-Za-zα-ωΑ-Ωϕφπβθτσµ]$') THEN 2
   WHEN NOT regexp_matches(c, '[=≈≤≥<>]|\\[A-Za-z]+|[A-Za-z][_^{{]') AND n < 2 THEN length(c) // 4 ELSE length(c) + n * 4 END AS score, regexp_matches(c, '^[|{{}}zZ]*$') AS artifact
-FROM (SELECT doc_id, c, length(c) - length(translate(c, '=+-*/_\^{{}}()[]|<>∑∫√≈≠≤≥πβθφτσµ', '')) AS n FROM (SELECT doc_id, regexp_replace({_FORMULA.replace("string", "varchar")}, '[\s\p{{Z}}]+', '', 'g') AS c FROM documents))"""
+FROM (SELECT doc_id, line_no, c, length(c) - length(translate(c, '=+-*/_\^{{}}()[]|<>∑∫√≈≠≤≥πβθφτσµ', '')) AS n FROM (SELECT doc_id, line_no, regexp_replace({_FORMULA.replace("string", "varchar")}, '[\s\p{{Z}}]+', '', 'g') AS c FROM {_LINES_SQL}))"""
 )
 def formula_score(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_FORMULA).alias("t"))
-    return docs.select("doc_id", T.formula_score(F.col("t")).alias("score"), T.is_formula_artifact(F.col("t")).alias("artifact"))
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.expr(_FORMULA).alias("t"))
+    return rows.select("doc_id", "line_no", T.formula_score(F.col("t")).alias("score"), T.is_formula_artifact(F.col("t")).alias("artifact"))
 
 
 @query("SELECT l_orderkey, v[len(v) // 2 + 1] AS median FROM (SELECT l_orderkey, list_sort(list(l_quantity)) AS v FROM lineitem GROUP BY l_orderkey)")
@@ -191,20 +200,24 @@ def nearest_number(spark, sf_dir):
     return found.select("l.page_no", "l.insert_no", F.col("r.insert_no").alias("number_no"), "distance")
 
 
-_COVER = f"""{_BOXES_SQL} c WHERE c.insert_no = 2 AND c.paper_id = b.paper_id AND c.page_no = b.page_no AND least(b.x1, c.x1) > greatest(b.x0, c.x0) AND least(b.y1, c.y1) > greatest(b.y0, c.y0)
+#: Crops reach beyond their box, so that they cover neighbours.
+_CROP = {"x0": "x0 - 60", "y0": "y0 - 100", "x1": "x1 + 60", "y1": "y1 + 100"}
+_COVER = f"""(SELECT paper_id, page_no, insert_no, {", ".join(f"{e} AS {c}" for c, e in _CROP.items())} FROM {_BOXES_SQL}) c WHERE c.insert_no = 2 AND c.paper_id = b.paper_id AND c.page_no = b.page_no AND least(b.x1, c.x1) > greatest(b.x0, c.x0) AND least(b.y1, c.y1) > greatest(b.y0, c.y0)
   AND (least(b.x1, c.x1) - greatest(b.x0, c.x0)) * (least(b.y1, c.y1) - greatest(b.y0, c.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) > 0.1"""
 
 
+def crops(spark, sf_dir) -> DataFrame:
+    return boxes(spark, sf_dir).where("insert_no = 2").selectExpr("paper_id", "page_no", "insert_no", *(f"{e} AS {c}" for c, e in _CROP.items()))
+
+
 @query(f"SELECT page_no, insert_no FROM {_BOXES_SQL} b WHERE insert_no <> 2 AND EXISTS (SELECT 1 FROM {_COVER})")
 def skip_semi(spark, sf_dir):
-    rows = boxes(spark, sf_dir).withColumn("y1", F.col("y1") + 0)
-    return layout.inside(rows.where("insert_no <> 2"), rows.where("insert_no = 2"), 0.1).select("page_no", "insert_no")
+    return layout.inside(boxes(spark, sf_dir).where("insert_no <> 2"), crops(spark, sf_dir), 0.1).select("page_no", "insert_no")
 
 
 @query(f"SELECT page_no, insert_no FROM {_BOXES_SQL} b WHERE insert_no <> 2 AND NOT EXISTS (SELECT 1 FROM {_COVER})")
 def skip_anti(spark, sf_dir):
-    rows = boxes(spark, sf_dir)
-    return layout.outside(rows.where("insert_no <> 2"), rows.where("insert_no = 2"), 0.1).select("page_no", "insert_no")
+    return layout.outside(boxes(spark, sf_dir).where("insert_no <> 2"), crops(spark, sf_dir), 0.1).select("page_no", "insert_no")
 
 
 @query(
@@ -217,14 +230,7 @@ def equation_islands(spark, sf_dir):
     return layout.islands(rows, "number", ["user_id"], ["event_id"], "top", "bottom").select("user_id", "event_id", "group_no")
 
 
-@query(
-    r"""
-WITH RECURSIVE b AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda l: l <> ''), lambda l: least(length(l), 2700) + 40) AS v FROM documents),
-f(doc_id, i, chunk, size, biggest) AS (SELECT doc_id, 0, 0, 2::bigint, 0::bigint FROM b
-  UNION ALL SELECT f.doc_id, i + 1, CASE WHEN size > 2 AND size + v[i + 1] + 4 > 3500 THEN chunk + 1 ELSE chunk END, CASE WHEN size > 2 AND size + v[i + 1] + 4 > 3500 THEN 2 + v[i + 1] + 4 ELSE size + v[i + 1] + 4 END,
-  greatest(biggest, CASE WHEN size > 2 AND size + v[i + 1] + 4 > 3500 THEN 2 + v[i + 1] + 4 ELSE size + v[i + 1] + 4 END) FROM f JOIN b ON f.doc_id = b.doc_id WHERE i < len(v))
-SELECT doc_id, max(i)::bigint AS n_blocks, CASE WHEN max(i) = 0 THEN 0 ELSE max(chunk) + 1 END::bigint AS n_chunks, max(biggest) AS max_chars FROM f GROUP BY doc_id"""
-)
+@query()  # SQL has no form of cutting long lines at sentence ends
 def pack_blocks(spark, sf_dir):
     lines = F.filter(F.split("text", "\n"), lambda l: l != "")
     docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
@@ -346,11 +352,10 @@ def render_table_md(spark, sf_dir):
     return rows.select("p_brand", tables.to_markdown(F.array(F.lit("part"), F.lit("size"), F.lit("price")), F.col("rows")).alias("md"))
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40 WHERE NOT contains(d.text, b.text)")
+@query("""SELECT doc_id, len(found) AS n_found, n - len(found) AS n_missing, found FROM (SELECT doc_id, (SELECT count(*) FROM benchmark WHERE text IS NOT NULL) AS n,
+  coalesce((SELECT list(item_id ORDER BY item_id) FROM benchmark b WHERE contains(d.text, b.text)), []) AS found FROM documents d)""")
 def missing_structures(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("k"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part"), (F.col("item_id") % 40).alias("k"))
-    return docs.join(items, "k").where(~F.contains("text", "part")).select("doc_id", "item_id")
+    return repair.structures_found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", F.size("found").cast("long").alias("n_found"), F.col("n_missing").cast("long").alias("n_missing"), "found")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(lang), 'src1') OR contains(lower(text), 'src1')")

@@ -68,3 +68,8 @@ def test_latex_normalize_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = __spark_entry__.queries()["latex_normalize"](spark, str(tmp_path)).first()
     assert "w499" in row.latex and "w499" in row.plain
+
+
+def test_crops_cover_some_blocks_and_not_others(spark, sf_dir):
+    inside, outside = (__spark_entry__.queries()[q](spark, sf_dir).count() for q in ("skip_semi", "skip_anti"))
+    assert inside > 100 and outside > 100

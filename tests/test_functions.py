@@ -169,3 +169,24 @@ def test_visual_clusters(spark):
         (1, 1): ((100, 300, 300, 390), "above"), (2, 1): ((100, 420, 300, 540), "below"), (3, 1): ((100, 430, 300, 500), "below"), (4, 1): (None, "above"), (5, 1): (None, "above"),
         (6, 1): ((100, 310, 300, 390), "above"), (7, 1): ((100, 285, 300, 390), "above"), (8, 1): ((50, 290, 400, 390), "above"), (9, 1): ((100, 250, 380, 390), "above"), (10, 1): (None, "above"),
     }
+
+
+def test_braces_and_styles():
+    assert markdown.plain_fractions(r"\frac {a} {b} + \frac{\frac{1}{2}}{c}") == "(a)/(b) + ((1)/(2))/(c)"
+    assert markdown.plain_fractions(r"\frac{a}") == r"\frac{a}" and markdown.plain_fractions(r"\frac{a}{b") == r"\frac{a}{b"
+    assert markdown.unwrapped(r"\boldsymbol{x} \mathbb {R} \text{a \mathrm{b}}") == "x R a b" and markdown.unwrapped(r"\text{open") == r"\text{open"
+    assert markdown.symbols_to_latex("ρ = ε + Ω Δ").split() == [r"\rho", "=", r"\epsilon", "+", r"\Omega", r"\Delta"]
+
+
+def test_halves():
+    text = "a" * 700 + ". " + "b" * 200 + ". " + "c" * 700
+    assert chunking.split_index(text) == 903 and chunking.split_index("x" * 10) == 5 and chunking.split_index("") == 0
+
+
+def test_structures_found(spark):
+    from folioflow.operators import repair
+
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "two"), (4, "one"), (6, "six"), (7, None)], "item_id long, text string")
+    assert [(r.doc_id, r.found, r.n_missing) for r in repair.structures_found(docs, items).orderBy("doc_id").collect()] == [(1, [4, 5], 1), (2, [], 3), (3, [], 3)]
+    assert repair.structures_found(docs, items.limit(0)).first().found == []
