@@ -2,7 +2,9 @@
 
 *Index.* A bounded sample fits centroids on the unit sphere by k-means with a penalty on crowded clusters. Every vector
 goes to the list of its nearest centroid and, near a boundary, also to the lists of others within ``closure`` times that
-distance, ``replicas`` at most. Lists are cut into parts of ``list_rows``, so no task gets an unbounded list.
+distance, ``replicas`` at most. There are as many lists as the square root of the entries, ``max_lists`` at most, so that
+the lists a query reaches, and the answers they give it, grow more slowly than the table. Lists are cut into parts of
+``part_rows``, so no task gets an unbounded list.
 
 *Search.* The centroids form a neighbour graph that each task holds in memory; queries walk it best first, until no centroid
 within ``ratio`` times the distance of the nearest is left to walk from. All of those found are searched, however many.
@@ -19,6 +21,7 @@ returned. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,7 +102,7 @@ class CentroidGraph:
             new = new[dist[new] == np.inf]
 
 
-def _postings(shared, closure: float, replicas: int, list_rows: int):
+def _postings(shared, closure: float, replicas: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, parts = shared.value
         for batch in batches:
@@ -162,7 +165,7 @@ def _best(k: int):
     return run
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, list_rows: int = 128, max_lists: int = 4096, sample_rows: int = 16_384, replicas: int = 2, closure: float = 1.04, ratio: float = 1.28) -> DataFrame:
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, part_rows: int = 1024, max_lists: int = 4096, sample_rows: int = 16_384, replicas: int = 2, closure: float = 1.04, ratio: float = 1.28) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
     ``sample_rows`` bounds the vectors that fit the centroids, ``max_lists`` the centroids; every row is indexed.
@@ -189,16 +192,16 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     one_in = max(1.0, total / sample_rows)
     sample = entries.where(F.col("part") < int((1 << 30) / one_in)).orderBy("part").limit(sample_rows).select("v").toArrow()
     x = unit(np.array(sample.column("v").to_pylist(), float)) if sample.num_rows else unit(np.array(entries.select("v").limit(1).toArrow().column("v").to_pylist(), float))
-    n_lists = max(1, min(max_lists, total // list_rows, len(x)))
+    n_lists = max(1, min(max_lists, math.isqrt(total), len(x)))
     centroids = balanced_centroids(x, n_lists)
     graph = CentroidGraph.build(centroids)
     shared = spark.sparkContext.broadcast((centroids, np.full(n_lists, 1 << 30)))  # max_lists rows at most
 
-    lists = scratch.table("lists", entries.mapInArrow(_postings(shared, closure, replicas, list_rows), "list long, part long, v array<double>, ids array<long>"), "snappy")
+    lists = scratch.table("lists", entries.mapInArrow(_postings(shared, closure, replicas), "list long, part long, v array<double>, ids array<long>"), "snappy")
     sizes = np.zeros(n_lists, np.int64)
     for r in lists.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    parts = np.maximum(1, -(-sizes // (8 * list_rows)))
+    parts = np.maximum(1, -(-sizes // part_rows))
     count = F.element_at(F.lit(parts.tolist()).cast("array<long>"), (F.col("list") + 1).cast("int"))
     dealt = lists.withColumn("part", F.pmod(F.col("part"), count))
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), "v")
