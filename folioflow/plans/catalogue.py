@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import blocks as B
 from folioflow.functions import tables
 from folioflow.functions import text as T
-from folioflow.operators import chunking, layout, repair
+from folioflow.operators import chunking, layout, pages, repair
 from folioflow.sources import library
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,6 +156,70 @@ def formula_score(spark, sf_dir):
     return rows.select("doc_id", "line_no", T.formula_score(F.col("t")).alias("score"), T.is_formula_artifact(F.col("t")).alias("artifact"))
 
 
+@query(
+    rf"""
+SELECT doc_id, line_no, t <> '' AND length(t) <= 260 AND (regexp_matches(t, '{B.OPERATOR_LINE}')
+  OR (length(t) - length(translate(t, '{B.LINE_SYMBOLS}', '')) >= 2 AND length(t) > length(translate(t, '{B.LINE_RELATIONS}', '')))) AS formula
+FROM (SELECT doc_id, line_no, regexp_replace({_FORMULA.replace("string", "varchar")}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM {_LINES_SQL})"""
+)
+def formula_lines(spark, sf_dir):
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.expr(_FORMULA).alias("t"))
+    return rows.select("doc_id", "line_no", B.is_formula_line(F.col("t")).alias("formula"))
+
+
+@query(
+    r"""
+WITH l AS (SELECT doc_id, lang, list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda l: regexp_replace(l, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda l: l <> '') AS v FROM documents),
+h AS (SELECT *, list_position(list_transform(v[1:8], lambda l: length(l) BETWEEN 4 AND 90 AND NOT regexp_matches(l, '^(?i:abstract|introduction)\b') AND NOT regexp_matches(l, '[@{},\d]|https?://')), false) AS stop FROM l)
+SELECT doc_id, CASE WHEN len(o) > 0 THEN substr(array_to_string(o, ' '), 1, 160) ELSE coalesce(list_filter(v[1:12], lambda l: length(l) BETWEEN 8 AND 180)[1], lang) END AS title
+FROM (SELECT *, CASE WHEN stop > 0 THEN v[1:least(8, stop - 1)] ELSE v[1:8] END AS o FROM h)"""
+)
+def titles(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", B.title(F.lit(""), F.col("text"), F.col("lang")).alias("title"))
+
+
+#: Texts as pages of 40 lines, blocks of three; each line has a raised mark and every third a second part.
+_SPANS = """explode(array(struct(0 AS span_no, text, 9.0D + n % 4 AS size, if(n % 5 = 0, 'Serif-Bold', 'Serif') AS font),
+  struct(1 AS span_no, '†' AS text, 5.0D AS size, 'Serif' AS font), struct(2 AS span_no, if(line_no % 3 = 0, ' end', '') AS text, 9.0D AS size, 'Serif' AS font))) AS s"""
+
+
+def spans(spark, sf_dir) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("n", F.col("doc_id") + F.col("line_no"))
+    rows = rows.selectExpr("doc_id AS paper_id", "(line_no - 1) div 40 AS page_no", "((line_no - 1) % 40) div 3 AS block_no", "line_no", "n", _SPANS)
+    return rows.selectExpr("paper_id", "page_no", "block_no", "line_no", "s.*", "40.0D + n % 3 * 40 AS x0", "(line_no - 1) % 40 * 19.0D AS y0", "400.0D + n % 2 * 150 AS x1", "(line_no - 1) % 40 * 19.0D + 12 AS y1")
+
+
+@query(
+    rf"""
+WITH l AS (SELECT doc_id AS paper_id, line_no, (line_no - 1) // 40 AS page_no, ((line_no - 1) % 40) // 3 AS block_no, 9.0 + (doc_id + line_no) % 4 AS size, (doc_id + line_no) % 5 = 0 AS bold, (line_no - 1) % 40 * 19.0 AS y0,
+  regexp_replace(concat(text, CASE WHEN line_no % 3 = 0 THEN ' end' ELSE '' END), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM {_LINES_SQL}),
+b AS (SELECT paper_id, page_no, block_no, coalesce(string_agg(t, chr(10) ORDER BY line_no) FILTER (t <> ''), '') AS t, max(size) AS size, bool_or(bold) AS bold, min(y0) AS y0 FROM l GROUP BY ALL),
+p AS (SELECT paper_id, page_no, list_sort(list(size)) AS v FROM b GROUP BY ALL)
+SELECT paper_id, page_no, block_no, size::double AS size, bold, y0::double AS y0, v[len(v) // 2 + 1]::double AS page_size, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  t, '-\n([a-z])', '\1', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', concat(chr(10), chr(10)), 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS digest FROM b JOIN p USING (paper_id, page_no)"""
+)
+def text_blocks(spark, sf_dir):
+    return pages.text_blocks(spans(spark, sf_dir)).select("paper_id", "page_no", "block_no", "size", "bold", "y0", "page_size", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query()
+def page_elements(spark, sf_dir):
+    rows = pages.elements(pages.text_blocks(spans(spark, sf_dir)), F.lit(600.0), F.lit(800.0))
+    kept = pages.equation_ids(pages.without_front_matter(rows, F.lit(800.0)))
+    return kept.select("paper_id", "page_no", "block_no", "kind", "heading_level", "caption_kind", "id")
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, role, text, string_split(text, ' ') AS v FROM conversations)
+SELECT conv_id, turn, length(text) + length(role) + 2 * list_sum(list_transform(v, lambda x: length(x)))::bigint AS n_source, length(text) + length(role) + 2 * (length(to_json(v)::varchar) + len(v) - 1) + 2 AS n_rendered FROM w"""
+)
+def block_lengths(spark, sf_dir):
+    words, none = F.split("text", " "), F.lit(None).cast("string")
+    block = F.struct("text", none.alias("content"), none.alias("raw_text"), none.alias("latex"), F.col("role").alias("caption"), words.alias("columns"), F.array(words).alias("rows"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", block.alias("b"))
+    return rows.select("conv_id", "turn", B.source_length(F.col("b")).cast("long").alias("n_source"), B.rendered_length(F.col("b")).cast("long").alias("n_rendered"))
+
+
 @query("SELECT l_orderkey, v[len(v) // 2 + 1] AS median FROM (SELECT l_orderkey, list_sort(list(l_quantity)) AS v FROM lineitem GROUP BY l_orderkey)")
 def upper_median_font(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("v"))  # a page's lines
