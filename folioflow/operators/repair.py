@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import markdown
+from folioflow.functions import text as T
 from folioflow.session import ship
 
 
@@ -38,9 +39,34 @@ def html_of(docs: DataFrame, text_col: str = "text", out_col: str = "html") -> D
     return docs.withColumn(out_col, _text_function(markdown.to_html)(F.col(text_col)))
 
 
+def formula_lines(raw: Column) -> Column:
+    """Cleaned lines of an extracted formula: those that are its number or no prose and hold something of a formula."""
+    clean = lambda l: T.strip(T.sub(F.translate(F.regexp_replace(l, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", ""), "−∗", "-*"), r"\s+", " "))
+    part = lambda l: T.has(l, r"^\(?\d+(?:_\d+)*\)?$") | (~T.is_equation_prose(l) & (T.formula_score(l) > 0))
+    return F.filter(F.transform(T.lines(raw), clean), lambda l: (l != "") & part(l))
+
+
 def latex_of(docs: DataFrame, raw_col: str, out_col: str = "latex") -> DataFrame:
+    """Extracted formulas as LaTeX, without the prose between their lines; empty where no line is part of a formula."""
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("string")
+    def latex(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            yield pa.array([None if lines is None else markdown.formula_of_lines(lines) for lines in rows.to_pylist()], pa.string())
+
+    return docs.withColumn(out_col, latex(formula_lines(F.col(raw_col))))
+
+
+def previewed(docs: DataFrame, text_col: str = "text", blocks_col: str = "blocks", out_col: str = "markdown") -> DataFrame:
     ship(docs.sparkSession)
-    return docs.withColumn(out_col, _text_function(markdown.raw_formula_to_latex)(F.col(raw_col)))
+
+    @F.arrow_udf("string")
+    def preview(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, blocks in batches:
+            yield pa.array([None if t is None else markdown.preview(t, b or []) for t, b in zip(texts.to_pylist(), blocks.to_pylist())], pa.string())
+
+    return docs.withColumn(out_col, preview(text_col, blocks_col))
 
 
 def plain_of(docs: DataFrame, latex_col: str, out_col: str = "plain") -> DataFrame:

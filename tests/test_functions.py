@@ -71,7 +71,8 @@ def test_raw_equations_never_replace_latex():
 
 
 def test_formula_to_latex_and_back():
-    assert markdown.raw_formula_to_latex("a ≤ θ\n(3)") == r"a \le \theta \tag{3}"
+    assert markdown.formula_of_lines(["a ≤ θ", "(3)"]) == r"a ≤ \theta\tag{3}"
+    assert markdown.formula_of_lines([]) == "" and markdown.formula_of_lines(["(3)"]) == ""
     assert markdown.latex_to_plain(r"\frac{\frac{a}{b}}{\text{c}} \le \theta") == "((a)/(b))/(c) ≤ θ"
     assert markdown.plain_fractions(r"\frac{a}{") == r"\frac{a}{"
 
@@ -190,3 +191,62 @@ def test_structures_found(spark):
     items = spark.createDataFrame([(5, "two"), (4, "one"), (6, "six"), (7, None)], "item_id long, text string")
     assert [(r.doc_id, r.found, r.n_missing) for r in repair.structures_found(docs, items).orderBy("doc_id").collect()] == [(1, [4, 5], 1), (2, [], 3), (3, [], 3)]
     assert repair.structures_found(docs, items.limit(0)).first().found == []
+
+
+RAW = [
+    "ORL(π) = E(x,τ)∼Dπ [rθ(x, τ) -βDKL(π(τ|x)||πinit(τ|x))].\nThe high R value of the fit indicates prose and must not enter the formula.\n(2)",
+    "rθ(x, τ)\n1\nπ*(τ|x) =\nZ(x)πinit(τ|x) exp\nβ\n(3)",
+    "L = 0.9 · N -.0425.\n(9)",
+    None,
+    "",
+    "(4)",
+]
+
+
+def test_extracted_formulas(spark):
+    from folioflow.operators import repair
+
+    rows = spark.createDataFrame(list(enumerate(RAW)), "i int, raw string")
+    first, torn, power, *rest = [r.latex for r in repair.latex_of(rows, "raw").orderBy("i").collect()]
+    for part in (r"O_{\mathrm{RL}}(\pi)", r"\mathbb{E}_{(x,\tau)\sim D_{\pi}}\left[", r"\beta D_{\mathrm{KL}}", r"\pi_{\mathrm{init}}", r"\tag{2}"):
+        assert part in first
+    assert "high R value" not in first
+    assert r"\frac{1}{Z(x)}" in torn and r"\exp\left(\frac{r_\theta(x,\tau)}{\beta}\right)" in torn and torn.endswith(r"\tag{3}")
+    assert r"N^{-0.0425}" in power and power.endswith(r"\tag{9}")
+    assert rest == [None, "", ""]
+
+
+def test_bare_formulas_and_failures():
+    out = markdown.sanitize("\n令 \\phi 参数化策略 \\pi_{\\phi}，提示分布为 D_x。\n\n$$\n公式未能可靠识别\n$$\n", [])
+    assert r"\(\phi\)" in out and r"\(\pi_{\phi}\)" in out and r"\(D_x\)" in out and "公式未能可靠识别" not in out
+    kept = "| a_b | c |\n<table>\n<tr><td>x_1</td></tr>\n</table>\n$$\ny_2\n$$\nC:\\x_3 `z_4` [l_5](u_6) $v_7$"
+    assert markdown.wrap_inline(kept) == kept
+    assert markdown.wrap_inline("a_1 after") == r"\(a_1\) after"
+
+
+def test_torn_tables():
+    table = "| a | b |\n| --- | --- |\n| 1 | 2 |"
+    assert markdown.without_table_rests(f"{table}\n\n3 4 5\nMethod 7\n\nA sentence follows here, and it ends.\n1 2 3") == f"{table}\n\nA sentence follows here, and it ends.\n1 2 3"
+    assert markdown.without_table_rests(f"{table}\n\n\n3 4 5") == f"{table}\n\n\n3 4 5"
+    assert markdown.without_table_rests("<table>\n<tr></tr>\n</table>\n# 1 2 3") == "<table>\n<tr></tr>\n</table>\n# 1 2 3"
+    assert markdown.placed_tables(f"x\n{table}\ny", [TABLE]).count("| b | 22 |") == 1
+    assert markdown.table_count(f"{table}\n\n<table></table>") == 2
+
+
+def test_missing_structures_of_a_document():
+    assert [p[:4] for p in markdown.missing("", [EQUATION, TABLE, {"type": "figure", "path": "f.png"}])] == ["$$\na", "**表 ", "![图]"]
+    assert markdown.missing("a = b f.png\n| x | y |\n| - | - |", [EQUATION, TABLE, {"type": "figure", "path": "f.png"}]) == []
+    assert "### 公式 1\n\n$$\na = b\n$$\n\n## 实验设计" in markdown.with_equations("x\n## 实验设计\ny", [EQUATION])
+    out = markdown.sanitize("# 摘要\n\ntext", [EQUATION], append_missing=False, all_equations=True)
+    assert "### 补充公式" in out and "a = b" in out
+
+
+def test_plain_inline_formulas():
+    assert markdown.inline_to_plain(r"\(\pi_{\phi}^2 \leq \mathbb{R}\)") == "π₍φ₎^(2) ≤ R"
+    assert markdown.inline_to_plain("$x_i$") == "x₍i₎" and markdown.inline_to_plain("") == ""
+    assert markdown.latex_to_plain("$$\\left( x \\tag{3}$$") == "( x (3)"
+
+
+def test_preview():
+    out = markdown.preview("'![a] (b.png)\n&lt;table>&lt;tr>&lt;td>1&lt;/td&gt;&lt;br /&gt;\n公式无法读取\nx_1", [])
+    assert out == "![a](b.png)\n<table><tr><td>1</td><br />\n\nx_1"
