@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import html_escape, is_complex_cell, is_numeric_cell, lines, pyre, strip
+from folioflow.functions.text import html_escape, is_complex_cell, is_numeric_cell, lines, pyre, strip, sub
 
 
 def cells(line: Column) -> Column:
@@ -45,6 +45,27 @@ def to_html(columns: Column, rows: Column) -> Column:
     return F.when((F.size(columns) > 0) & (F.size(rows) > 0), F.concat(F.lit("<table>\n"), tag(columns, "th"), F.lit("\n"), body, F.lit("\n</table>\n")))
 
 
+def raw_html(text: Column) -> Column:
+    """A table's text in one cell, for tables whose cells are not known."""
+    return F.concat(F.lit("<table>\n<tr><td>"), F.replace(html_escape(text), F.lit("\n"), F.lit("<br>")), F.lit("</td></tr>\n</table>\n"))
+
+
+def raw_rows(text: Column) -> Column:
+    """struct(columns, rows) of the piped lines of a raw table, tags left out: rows of the commonest width (of equally common
+    ones the first) and longer ones, whose last cells are joined. Null unless two rows or more have that width."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    plain = F.transform(lines(text), lambda l: strip(sub(sub(l, "<[^>]+>", " "), r"\s+", " ")))
+    rows = F.filter(F.transform(F.filter(plain, lambda l: F.contains(l, F.lit("|"))), cells), lambda r: F.size(r) >= 2)
+    widths = F.transform(rows, F.size)
+    ranked = F.transform(F.array_distinct(widths), lambda w, i: F.struct(F.size(F.filter(rows, lambda r: F.size(r) == w)).alias("n"), (-i).alias("first"), w.alias("width")))
+    best = F.array_max(ranked)
+    width = best["width"]
+    joined = lambda r: F.concat(F.slice(r, F.lit(1), width - 1), F.array(F.array_join(F.slice(r, width, F.size(r) - width + 1), " ")))
+    fitted = F.transform(F.filter(rows, lambda r: F.size(r) >= width), lambda r: F.when(F.size(r) == width, r).otherwise(joined(r)))
+    return F.when(best["n"] >= 2, F.struct(F.get(fitted, 0).alias("columns"), F.slice(fitted, F.lit(2), F.size(fitted)).alias("rows")))
+
+
 def to_markdown(columns: Column, rows: Column) -> Column:
     """A pipe table with numeric columns set right; HTML where a cell can't be one line of a pipe table."""
     numeric = F.transform(F.sequence(F.lit(0), F.size(columns) - 1), lambda i: F.forall(rows, lambda r: is_numeric_cell(F.coalesce(F.get(r, i), F.lit("")))))

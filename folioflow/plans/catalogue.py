@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import blocks as B
-from folioflow.functions import tables
+from folioflow.functions import notation, tables
 from folioflow.functions import text as T
-from folioflow.operators import chunking, layout, pages, repair
+from folioflow.operators import chunking, layout, pages, repair, structure
 from folioflow.sources import library
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +209,69 @@ def page_elements(spark, sf_dir):
     return kept.select("paper_id", "page_no", "block_no", "kind", "heading_level", "caption_kind", "id")
 
 
+#: Captions among the elements, and three drawings a page.
+_CAPTIONED = "CASE block_no % 5 WHEN 2 THEN concat('Figure ', paper_id, ': ', left(text, 40)) WHEN 4 THEN concat('Table: ', left(text, 40)) ELSE text END"
+
+
+@query()
+def structured_blocks(spark, sf_dir):
+    found = pages.text_blocks(spans(spark, sf_dir)).withColumn("text", F.expr(_CAPTIONED))
+    rows = pages.elements(found, F.lit(600.0), F.lit(800.0)).withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+    drawn = rows.select("paper_id", "page_no").distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("insert_no"))
+    drawn = drawn.selectExpr("paper_id", "page_no", "insert_no", "if(insert_no = 3, 'image', 'drawing') AS kind", "100.0D AS x0", "insert_no * 200.0D AS y0", "400.0D AS x1", "insert_no * 200.0D + 60 AS y1")
+    blocks = structure.structured_blocks(rows, drawn)
+    return blocks.select("paper_id", "page_no", "seq", "type", "level", "id", "path", F.size("rows").alias("n_rows"), F.md5(F.coalesce("text", "raw_text", "caption").cast("binary")).alias("digest"))
+
+
+_NOTED = "concat('D(G(x)) of ', replace(replace(text, ' and ', ' yt, x and '), '$', ''), ' β = 0.', cast(doc_id % 10 AS string), ' for G')"
+
+
+@query(
+    rf"""
+SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  s, '(^|{{n}})D\(G\(x\)\)', '\1' || chr(1), 'g'), '(^|{{n}})yt($|{{n}})', '\1' || chr(2) || '\2', 'g'), '(^|{{n}})β = ([0-9.]+)', '\1' || chr(3) || ' = \2$', 'g'),
+  '(^|{{n}})([GDT])($|{{n}})', '\1$\2$\3', 'g'), '(^|{{n}})([GDT])($|{{n}})', '\1$\2$\3', 'g'), '(^|{{v}})([xy])($|{{v}})', '\1$\2$\3', 'g'), '(^|{{v}})([xy])($|{{v}})', '\1$\2$\3', 'g'),
+  chr(1), '$D(G(x))$'), chr(2), '$y_t$'), chr(3), '$\beta'), '[$]{{{{2,}}}}', '$', 'g') AS t
+FROM (SELECT doc_id, replace(replace({_NOTED.replace("string", "varchar")}, '`', ''), '![', '') AS s FROM documents))""".replace("{n}", r"[^\p{L}\p{N}_]").replace("{v}", r"[^\p{L}\p{N}_.\-]").replace("{{", "{").replace("}}", "}")
+)
+def inline_math(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace(F.expr(_NOTED), F.lit("`"), F.lit("")), F.lit("!["), F.lit("")).alias("s"))
+    rows = docs.select("doc_id", notation.inline_math(F.col("s")).alias("t"))
+    return rows.select("doc_id", F.length("t").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL ELSE nullif(trim(concat(text, ' ', role)), '') END AS answer, CASE WHEN role = 'system' THEN NULL ELSE trim(concat(text, role)) END AS message FROM conversations"""
+)
+def provider_answers(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    known, text = F.col("role") != "system", F.concat("text", F.lit(" "), "role")
+    chat = F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices")))
+    part = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("text"))
+    messages = F.to_json(F.struct(F.array(part("text", F.col("text")), part("tool", F.lit("no")), part(None, F.col("role"))).alias("content")))
+    return rows.select("conv_id", "turn", notation.answer(F.when(known, chat), "chat").alias("answer"), notation.answer(F.when(known, messages), "messages").alias("message"))
+
+
+@query(
+    r"""SELECT doc_id, md5(concat('# 论文阅读摘要', chr(10), chr(10), '## 论文领域标签', chr(10), '- 领域：', lang, chr(10), '- 子领域：', source, chr(10), '- 关键词/术语提示：none', chr(10), chr(10), chr(10),
+  regexp_replace(concat('## Kept', chr(10), text), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), chr(10))) AS digest FROM documents"""
+)
+def summaries(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.col("lang").alias("field"), F.col("source").alias("subfield"), F.lit("none").alias("terminology_notes")).alias("c"), F.expr(r"concat('## 一句话概括\n', replace(text, '\n#', '\n'), '\n## Kept\n', text)").alias("s"))
+    return docs.select("doc_id", F.md5(notation.summary(F.col("s"), F.col("c")).cast("binary")).alias("digest"))
+
+
+@query(
+    """SELECT o_custkey, c[1][1] AS first, len(c) - 1 AS n_rows, array_to_string(c[len(c)], '/') AS last FROM (SELECT o_custkey, list([o_orderstatus, o_orderpriority, concat(cast(o_orderkey AS varchar), CASE WHEN o_orderkey % 3 = 0 THEN ' more' ELSE '' END)] ORDER BY o_orderkey) AS c
+FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderkey % 3 <> 0) >= 2 AND count(*) FILTER (o_orderkey % 3 <> 0) > count(*) FILTER (o_orderkey % 3 = 0))"""
+)
+def raw_table_rows(spark, sf_dir):
+    line = F.concat(F.lit("<tr><td>"), "o_orderstatus", F.lit("</td> | "), "o_orderpriority", F.lit(" |  "), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "| more").otherwise(""))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))).alias("v"), F.count_if(F.col("o_orderkey") % 3 != 0).alias("n"), F.count(F.lit(1)).alias("all"))  # a customer's orders
+    rows = rows.where("n >= 2 AND 2 * n > all").select("o_custkey", tables.raw_rows(F.array_join(F.transform("v", lambda x: x["l"]), "\n")).alias("t"))
+    return rows.select("o_custkey", F.get("t.columns", F.lit(0)).alias("first"), F.size("t.rows").cast("long").alias("n_rows"), F.array_join(F.element_at(F.concat(F.array("t.columns"), "t.rows"), -1), "/").alias("last"))
+
+
 @query(
     """WITH w AS (SELECT conv_id, turn, role, text, string_split(text, ' ') AS v FROM conversations)
 SELECT conv_id, turn, length(text) + length(role) + 2 * list_sum(list_transform(v, lambda x: length(x)))::bigint AS n_source, length(text) + length(role) + 2 * (length(to_json(v)::varchar) + len(v) - 1) + 2 AS n_rendered FROM w"""

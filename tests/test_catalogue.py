@@ -39,7 +39,7 @@ def test_matches_sql(spark, duck, sf_dir, name):
     assert [r for r in zip(rows, want) if r[0] != r[1]][:3] == []
 
 
-@pytest.mark.parametrize("name", ["sanitize_markdown", "latex_normalize", "md_to_html", "visual_cluster", "caption_groups", "translate_stub", "table_parse", "page_elements"])
+@pytest.mark.parametrize("name", ["sanitize_markdown", "latex_normalize", "md_to_html", "visual_cluster", "caption_groups", "translate_stub", "table_parse", "page_elements", "structured_blocks"])
 def test_runs(spark, sf_dir, name):
     assert __spark_entry__.queries()[name](spark, sf_dir).count() > 0
 
