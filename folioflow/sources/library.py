@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,100 @@ def papers(files: DataFrame) -> DataFrame:
     )
 
 
+def folders(files: DataFrame) -> DataFrame:
+    """folder: the collections that hold a paper."""
+    return files.select("folder").distinct()
+
+
+def named(papers: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Papers with ``name``: the metadata's (folder, paper, ``json``) display name, or the paper's where it is missing, empty or no
+    JSON. Of several metadata rows of a paper the one with the least JSON counts."""
+    known = metadata.groupBy("folder", "paper").agg(F.min("json").alias("json"))  # a paper's metadata
+    name = F.nullif(F.get_json_object(F.regexp_replace("json", "^\ufeff", ""), "$.display_name"), F.lit(""))
+    return papers.join(known.select("folder", "paper", name.alias("name")), ["folder", "paper"], "left").withColumn("name", F.coalesce("name", "paper"))
+
+
+#: How a paper's files are called in a listing.
+FILE_LABELS = {"translated.md": "中文译文.md", "summary.md": "Summary.md"}
+PDF_LABEL = "原论文.pdf"
+
+
+def file_label(name: Column) -> Column:
+    out = F.when(F.lower(name).endswith(".pdf"), PDF_LABEL)
+    for known, label in FILE_LABELS.items():
+        out = out.when(name == known, label)
+    return out.otherwise(name)
+
+
+def folder_name(name: str, default: str = "未命名文件夹") -> str:
+    """A collection's folder: lower case, words of any script joined by hyphens."""
+    return re.sub(r"[\W_]+", "-", unicodedata.normalize("NFKC", name).lower()).strip("-") or default
+
+
+def is_inside(path: Column, root: Column) -> Column:
+    """Whether a normalised path is ``root`` or lies below it."""
+    base = F.regexp_replace(root, "/+$", "")
+    return (path == base) | path.startswith(F.concat(base, F.lit("/")))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    return is_inside(a, b) | is_inside(b, a)
+
+
+class Folders:
+    """Collections below a root on any file system that Spark knows; it is made if it is not there."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.root = root.rstrip("/")
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.root))
+
+    def _at(self, name: str):
+        if name in ("", ".", "..") or "/" in name:
+            raise ValueError(f"not the name of a collection: {name!r}")
+        return self._path(f"{self.root}/{name}")
+
+    def names(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(self.root)) if f.isDirectory())
+
+    def create(self, name: str) -> str:
+        self._fs.mkdirs(self._at(folder_name(name)))
+        return folder_name(name)
+
+    def rename(self, old: str, new: str) -> str:
+        """The new folder; nothing is overwritten."""
+        target = folder_name(new, old)
+        if target != old and (self._fs.exists(self._at(target)) or not self._fs.rename(self._at(old), self._at(target))):
+            raise FileExistsError(target)
+        return target
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+    def unused(self, name: str) -> str:
+        """The name, or with the first number from 2 on that no folder has."""
+        taken, k = set(self.names()), 2
+        found = name
+        while found in taken:
+            found, k = f"{name}-{k}", k + 1
+        return found
+
+    def write(self, folder: str, name: str, text: str) -> None:
+        """A file that readers see whole or not at all."""
+        at = self._at(folder).toString()
+        draft, final = self._path(f"{at}/.{name}.draft"), self._path(f"{at}/{name}")
+        out = self._fs.create(draft, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if self._fs.exists(final):
+            self._fs.delete(final, False)
+        if not self._fs.rename(draft, final):
+            raise OSError(f"cannot write {final.toString()}")
+
+
 def matching(papers: DataFrame, columns: list[str], query: Column) -> DataFrame:
     """Rows with the query in any of the columns, whatever the case."""
     wanted = F.lower(F.trim(query))
@@ -87,4 +184,4 @@ def decoded(files: DataFrame, decode, schema: str) -> DataFrame:
     return files.mapInArrow(decode, schema)
 
 
-__all__ = ["BLOCK", "blocks", "cache_key", "context", "decoded", "files", "html_blocks", "matching", "merged_metadata", "papers", "safe_name", "with_cache"]
+__all__ = ["BLOCK", "blocks", "cache_key", "context", "decoded", "file_label", "files", "folder_name", "Folders", "folders", "html_blocks", "is_inside", "matching", "merged_metadata", "named", "overlap", "papers", "safe_name", "with_cache"]
