@@ -5,12 +5,15 @@ All joins are equi-joins on the page with range conditions, so a page's rows mee
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import overlap_ratio, rect, x_overlap_ratio
+from folioflow.session import ship
 
 PAGE = ("paper_id", "page_no")
 
@@ -69,20 +72,28 @@ def islands(rows: DataFrame, number: str, by: list[str], order: list[str], top:
 
 
 def caption_groups(captions: DataFrame, reach: float = 18.0, page=PAGE) -> DataFrame:
-    """``group_no``: table captions level with the first of a group join it; every other caption is a group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("insert_no", kind="stable").reset_index(drop=True)
-        group, anchors = [], []
-        for row in pdf.itertuples():
-            found = next((i for i, (kind, y) in enumerate(anchors) if kind == row.kind == "table" and abs(y - row.y0) <= reach), None)
-            if found is None:
-                found = len(anchors)
-                anchors.append((row.kind, row.y0))
-            group.append(found)
-        return pdf.assign(group_no=group)
-
-    return captions.groupBy(*page).applyInPandas(fold, captions.schema.simpleString()[7:-1].replace(":", " ") + ", group_no long")
+    """``group_no``: table captions level with the first of a group join it; every other caption is a group. Order is that of
+    ``insert_no``, of equal ones that of their kind and height."""
+
+    @F.arrow_udf("array<long>")
+    def numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def fold(rows):
+            anchors = []
+            for row in rows:
+                found = next((i for i, (kind, y) in enumerate(anchors) if kind == row["kind"] == "table" and abs(y - row["y0"]) <= reach), None)
+                if found is None:
+                    found = len(anchors)
+                    anchors.append((row["kind"], row["y0"]))
+                yield found
+
+        for pages in batches:
+            yield pa.array([list(fold(rows)) for rows in pages.to_pylist()], pa.list_(pa.int64()))
+
+    row = F.struct("insert_no", "kind", "y0", F.struct(*captions.columns).alias("row"))
+    whole = captions.groupBy(*page).agg(F.array_sort(F.collect_list(row)).alias("rows"))  # a page's captions
+    keys = F.transform("rows", lambda r: F.struct(r["kind"].alias("kind"), r["y0"].alias("y0")))
+    pairs = whole.select("rows", numbers(keys).alias("numbers")).select(F.inline(F.arrays_zip("rows", "numbers")))
+    return pairs.select("rows.row.*", F.col("numbers").alias("group_no"))
 
 
 def _meet(a, b):
@@ -188,18 +199,28 @@ def visual_clusters(captions: DataFrame, primitives: DataFrame, page=PAGE) -> Da
     above, else if it is within 80 below; without one it is null and ``direction`` "above". Order matters and is that of ``insert_no``.
     """
 
-    def grow(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sides = ["x0", "y0", "x1", "y1"]
-        right = right.sort_values("insert_no", kind="stable")
-        rows = list(zip(right["kind"], map(tuple, right[sides].to_numpy(float))))
-        out = []
-        for _, group in left.sort_values("insert_no", kind="stable").groupby("group_no"):
-            first = group.iloc[0]
-            box, direction, n = _nearest_cluster([tuple(r) for r in group[sides].to_numpy(float)], first["kind"], (0.0, 0.0, float(first["width"]), float(first["height"])), rows)
-            out.append((*key, first["insert_no"], *(map(float, box) if box is not None else (None,) * 4), direction, n))
-        return pd.DataFrame(out, columns=[*page, "insert_no", *sides, "direction", "n"])
-
-    # both sides may come from one table; the right one gets columns of its own
-    primitives = primitives.select(*(F.col(c).alias(c) for c in (*page, "insert_no", "kind", "x0", "y0", "x1", "y1")))
-    kinds = ", ".join(f"{p} {captions.schema[p].dataType.simpleString()}" for p in page)
-    return captions.groupBy(*page).cogroup(primitives.groupBy(*page)).applyInPandas(grow, f"{kinds}, insert_no long, x0 double, y0 double, x1 double, y1 double, direction string, n long")
+    ship(captions.sparkSession)
+    sides = ("x0", "y0", "x1", "y1")
+
+    @F.arrow_udf("array<struct<insert_no:long,x0:double,y0:double,x1:double,y1:double,direction:string,n:long>>")
+    def grow(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        box = lambda r: tuple(r[s] for s in sides)
+
+        def found(captions, things):
+            rows, groups = [(t["kind"], box(t)) for t in things or ()], {}
+            for c in captions:
+                groups.setdefault(c["group_no"], []).append(c)
+            for group in groups.values():
+                first = group[0]
+                crop, direction, n = _nearest_cluster([box(c) for c in group], first["kind"], (0.0, 0.0, first["width"], first["height"]), rows)
+                yield dict(zip(("insert_no", *sides, "direction", "n"), (first["insert_no"], *(map(float, crop) if crop is not None else (None,) * 4), direction, n)))
+
+        kind = pa.list_(pa.struct([("insert_no", pa.int64()), *((s, pa.float64()) for s in sides), ("direction", pa.string()), ("n", pa.int64())]))
+        for captions, things in batches:
+            yield pa.array([list(found(c, t)) for c, t in zip(captions.to_pylist(), things.to_pylist())], kind)
+
+    wide = [F.col(s).cast("double").alias(s) for s in (*sides, "width", "height")]
+    left = captions.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("insert_no").cast("long").alias("insert_no"), "group_no", "kind", *wide))).alias("captions"))  # a page's captions
+    right = primitives.groupBy(*(F.col(p).alias(f"_{p}") for p in page)).agg(F.array_sort(F.collect_list(F.struct("insert_no", "kind", *wide[:4]))).alias("things"))  # what a page shows
+    pairs = left.join(right, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in page], "left")
+    return pairs.select(*page, F.inline(grow("captions", "things")))

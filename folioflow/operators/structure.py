@@ -15,6 +15,7 @@ from folioflow.functions import text as T
 from folioflow.functions.geometry import area, center_inside, expanded, intersection_area, overlap_ratio, rect, x_overlap_ratio
 from folioflow.operators import layout, repair
 from folioflow.operators.layout import PAGE
+from folioflow.session import Scratch
 
 SIDES = ("x0", "y0", "x1", "y1")
 #: Words of running text.
@@ -112,13 +113,16 @@ def structured_blocks(rows: DataFrame, drawn: DataFrame, page=PAGE) -> DataFrame
 
     Numbers come from captions, else from the count of the kind so far in the paper; equations are counted.
     """
+    scratch = Scratch(rows.sparkSession)
+    rows = scratch.table("elements", rows)  # read by every join below
     seen = primitives(drawn, rows, page)
     members, groups = caption_blocks(rows, page)
     crops = layout.visual_clusters(members.drop("text"), seen, page).where("x0 IS NOT NULL").select(*page, "insert_no", F.struct(*SIDES).alias("crop"))
-    groups = groups.join(crops, [*page, "insert_no"], "left")
+    groups = scratch.table("crops", groups.join(crops, [*page, "insert_no"], "left"))
     figures = groups.where("kind = 'figure' AND crop IS NOT NULL").select(*page, "insert_no", "members", "width", "height", *(F.col("crop")[s].alias(s) for s in SIDES))
     valid = valid_figures(figures, seen, rows, page).withColumn("valid", F.lit(True))
     groups = groups.join(valid, [*page, "insert_no"], "left").withColumn("crop", F.when((F.col("kind") != "figure") | F.col("valid"), F.col("crop")))
+    groups = scratch.table("groups", groups)
 
     bodies = table_bodies(groups.where("kind <> 'figure'"), rows, page=page)
     texts = bodies.groupBy(*page, "insert_no").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "block_no", "text"))).alias("body"))  # a table's elements
