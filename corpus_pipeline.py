@@ -36,7 +36,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     unclear = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count()
     # rows that share an id, or have none, are told apart by a number of their own, written once so that it stays
     rows = scratch.table("keyed", docs.withColumn(key, F.monotonically_increasing_id())) if unclear else docs.withColumn(key, F.col("doc_id"))
-    found = jaccard_join.join(rows, id_col=key).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_first"))
+    found = jaccard_join.join(rows, id_col=key, links=False).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_first"))
     if unclear:
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_id")
         ranked = found.join(rows.select(F.col(key).alias("_row"), "doc_id"), F.col("_id") == F.col("_row")).groupBy("_first").agg(F.min(order).alias("_least"))

@@ -18,8 +18,12 @@ shingles do not meet.
 
 *Links.* Equal sets are one class and copies are never paired. Within a pattern's group every class is paired with the
 group's first and last class only; a folded sketch drops hopeless pairs, the rest are verified on the exact sets.
-Connected classes then need no further pairs: a second join of the groups emits pairs of different components only.
-Components come from iterated minimum labels with pointer jumping over tables in the shared folder.
+Connected classes then need no further pairs to be connected: a second join of the groups emits pairs of different components
+only. Components come from iterated minimum labels with pointer jumping over tables in the shared folder.
+
+*Counts.* Every link joins two classes of one component, so all links of a class are counted there: a component's classes are
+dealt into blocks, and each two blocks that share a pattern are compared on the exact sets by matrix products, which yield
+counts and no rows for pairs. The work still grows with the square of a component, spread over its pairs of blocks.
 
 Classes are told apart by 128-bit hashes of their sets, texts by two 64-bit hashes, shingles by 64-bit hashes, of which a
 pair would need several equal by chance to link. Null ids take part in links but never name a component unless all of its
@@ -47,6 +51,8 @@ FOLDED = 8  # longs of the folded sketch
 EXTRA = 7  # patterns beyond the first D + 1
 TOKEN_BANDS = 6  # below 2^6 elements each element is a part
 SMALL = 16  # up to so many elements in the smaller set, pairs are joined by their sizes
+BLOCK = 256  # classes of a component that are compared at once
+BLOCK_ELEMENTS = 1 << 20  # and about so many elements of theirs
 _HOT = 1024
 _SEED = np.uint64(0x9FB21C651E98DF25)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -153,6 +159,23 @@ def wide_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``, by products of ``width`` elements at a time."""
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    _, codes, held = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    codes = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[codes]
+    codes, rows = codes[codes >= 0], rows[codes >= 0]
+    order = np.argsort(codes, kind="stable")
+    codes, rows = codes[order], rows[order]
+    same = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(codes[-1]) + 1 if len(codes) else 0, width):
+        a, b = np.searchsorted(codes, (at, at + width))
+        held = np.zeros((len(left) + len(right), width), np.float32)
+        held[rows[a:b], codes[a:b] - at] = 1
+        same += (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return same
+
+
 def _sets_udf(spark, percent: int, spread: int, hot: np.ndarray, size: int, everything: bool):
     shared = spark.sparkContext.broadcast(hot)  # at most `hot_keys` longs
     longs = ",".join(f"k{i}:bigint" for i in range(FOLDED))
@@ -162,27 +185,28 @@ def _sets_udf(spark, percent: int, spread: int, hot: np.ndarray, size: int, ever
         late, none, seen = shared.value, np.empty(0, np.uint64), set()
         keep_only(HASHES)
         for texts in batches:
-            n, f, need, keys, folds, wide, offsets = [], [], [], [], [], [], [0]
+            n, f, need, keys, absent, folds, wide, offsets = [], [], [], [], [], [], [], [0]
             for text in byte_list(texts):
                 s = shingles(text, size)
                 n.append(len(s))
                 f.append(xxhash.xxh3_128_intdigest(s.tobytes()))
-                if not len(s) or f[-1] in seen:  # one copy of a class in each task is joined on
-                    key, least = none, None
+                if not len(s) or f[-1] in seen:  # one copy of a class in each task is joined on, the others have no keys
+                    key, least = None, None
                 elif everything:
                     key, least = np.concatenate([elements(s) if size_pairs(len(s), percent) else none, *(patterns(s, b, spread) for b, _ in bands(len(s), percent))]), 1
                 else:
                     key, least = prefix(s, percent, spread, late)
                 seen.add(f[-1])
-                keys.append(key)
-                offsets.append(offsets[-1] + len(key))
+                absent.append(key is None)
+                keys.append(none if key is None else key)
+                offsets.append(offsets[-1] + len(keys[-1]))
                 need.append(least)
                 folds.append(parities(s, 64 * FOLDED))
                 wide.append(wide_sketch(s))
             fold = np.array(folds, np.int64).reshape(-1, FOLDED)
             values = pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64))
             yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int32()), *(pa.array([(x >> k & (1 << 64) - 1) - (1 << 63) for x in f], pa.int64()) for k in (0, 64)), *(pa.array(np.ascontiguousarray(fold[:, i])) for i in range(FOLDED)), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(need, pa.int32())],
+                [pa.array(n, pa.int32()), *(pa.array([(x >> k & (1 << 64) - 1) - (1 << 63) for x in f], pa.int64()) for k in (0, 64)), *(pa.array(np.ascontiguousarray(fold[:, i])) for i in range(FOLDED)), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(absent, pa.bool_())), pa.array(need, pa.int32())],
                 names=["n", "f1", "f2", *(f"k{i}" for i in range(FOLDED)), "wide", "keys", "need"],
             )
 
@@ -223,12 +247,13 @@ def _text_keys() -> list:
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int, hot_keys: int, broadcast_rows: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int, hot_keys: int, broadcast_rows: int, links: bool):
         self.spark, self.percent, self.size, self.broadcast_rows = docs.sparkSession, percent, size, broadcast_rows
         ship(self.spark)
         self.scratch = Scratch(self.spark)
         self.texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        self.hot_keys = hot_keys
+        self.hot_keys, self.links = hot_keys, links
+        self.exact: list[DataFrame] = []  # (f, s) of classes in verified pairs
 
     def sets(self) -> DataFrame:
         """One row for each document: id, text key, n, set key, folded sketch, prefix."""
@@ -269,7 +294,7 @@ class _Join:
 
     def alike(self, a: str, b: str):
         """Whether sizes and folded sketches of two sides allow a link."""
-        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
         apart = sum((F.bit_count(F.col(f"{a}.k{i}").bitwiseXOR(F.col(f"{b}.k{i}"))) for i in range(1, FOLDED)), F.bit_count(F.col(f"{a}.k0").bitwiseXOR(F.col(f"{b}.k0"))))
         return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (apart * (100 + self.percent) <= (100 - self.percent) * (n + m))
 
@@ -292,10 +317,54 @@ class _Join:
         wanted = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct()
         s = self.hashes(classes, wanted, name)
         rows = pairs.join(s.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b").join(s.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a")
-        same = F.size(F.array_intersect("sa", "sb"))
+        same = F.size(F.array_intersect("sa", "sb")).cast("long")
         rows = rows.where(100 * same >= self.percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
         out = self.scratch.table(f"{name}-links", rows)
-        self.scratch.drop(*(f"{name}-{x}" for x in ("near", "wanted", "hashes")))
+        self.scratch.drop(*(f"{name}-{x}" for x in ("near", "wanted") + (() if self.links else ("hashes",))))
+        self.exact.append(s)
+        return out
+
+    def counted(self, classes: DataFrame, comps: DataFrame, keys: DataFrame) -> DataFrame:
+        """(f, n_links, n_linked): the linked classes of each class in ``comps``, and their documents."""
+        percent, scratch = self.percent, self.scratch
+        members = scratch.table("members", comps.join(classes.select("f", "n", "copies"), "f"))
+        # a component that fits in a block is one; others are cut by size, then by a hash of the class
+        whole = members.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n").cast("long")).alias("total")).select("c", ((F.col("k") <= BLOCK) & (F.col("total") <= BLOCK_ELEMENTS)).alias("whole"))
+        rows = members.join(whole, "c").withColumn("band", F.when(F.col("whole"), 0).otherwise(1 + F.floor(4 * F.log2("n"))))
+        most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_ELEMENTS) / F.max("n"))))
+        cuts = rows.where("NOT whole").groupBy("c", "band").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"), F.min("n").alias("least"), F.max("n").alias("largest"))
+        rows = rows.join(cuts, ["c", "band"], "left").withColumn("u", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.shiftleft(F.col("band").cast("long"), 48) + F.pmod(F.xxhash64(F.lit(41), "f"), "parts")))
+        blocks = scratch.table("blocks", rows.select("f", "c", "copies", "u", "whole", "least", "largest"))
+        # linked classes share a pattern, so do their blocks
+        on = scratch.table("shared", keys.select("key", "f").join(blocks.where("NOT whole"), "f").select("key", "c", "u", "least", "largest").distinct())
+        near = (F.col("x.u") < F.col("y.u")) & (100 * F.col("x.largest").cast("long") >= percent * F.col("y.least").cast("long")) & (100 * F.col("y.largest").cast("long") >= percent * F.col("x.least").cast("long"))
+        tiles = on.alias("x").join(on.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") == F.col("y.c")) & near).select("x.c", "x.u", F.col("y.u").alias("v")).distinct()
+        tiles = scratch.table("tiles", tiles)
+        row = blocks.select("f", "c", "copies", "u")
+        dealt = row.select("f", "copies", "c", "u", F.col("u").alias("v"), F.lit(0).alias("side"))
+        dealt = dealt.union(row.join(tiles, ["c", "u"]).select("f", "copies", "c", "u", "v", F.lit(0))).union(row.withColumnRenamed("u", "v").join(tiles, ["c", "v"]).select("f", "copies", "c", "u", "v", F.lit(1)))
+        first, *more = self.exact
+        sets = first
+        for s in more:
+            sets = sets.union(s.join(first.select("f"), "f", "left_anti"))
+
+        def compare(tile: pa.Table) -> pa.Table:
+            side, f, copies = (tile[c].to_numpy() for c in ("side", "f", "copies"))
+            s = [x.values.to_numpy().view(np.uint64) for x in tile["s"]]
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            alone = not len(right)
+            right = left if alone else right
+            n = np.array([len(x) for x in s])
+            same = overlaps([s[i] for i in left], [s[i] for i in right])
+            linked = 100 * same >= percent * (n[left][:, None] + n[right][None, :] - same)
+            if alone:
+                np.fill_diagonal(linked, False)
+            sums = [(f[left], linked.sum(1), linked @ copies[right])] + ([] if alone else [(f[right], linked.sum(0), copies[left] @ linked)])
+            return pa.table({name: np.concatenate(c).astype(np.int64) for name, c in zip(("f", "n_links", "n_linked"), zip(*sums))})
+
+        found = dealt.join(sets, "f").groupBy("c", "u", "v").applyInArrow(compare, "f long, n_links long, n_linked long")
+        out = scratch.table("counts", found.groupBy("f").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked").alias("n_linked")))
+        scratch.drop("members", "blocks", "shared", "tiles", "stars-hashes", "pairs-hashes")
         return out
 
     def run(self) -> DataFrame:
@@ -334,29 +403,31 @@ class _Join:
         if pairs.limit(1).count():
             links = scratch.table("links", links.union(self.verified(classes, pairs, wides, "pairs")))
             comps = components(links, scratch, "second")
+        counts = self.counted(classes, comps, keys) if self.links else comps.select("f", *(F.lit(None).cast("long").alias(c) for c in ("n_links", "n_linked")))
         scratch.drop("groups", "open", "left", "stars", "pairs", "warm")
         # the smallest id of each class, then of each component
         named = scratch.table("named", classes.select("f", "f1", "f2", "id", "copies").join(comps, "f", "left").withColumn("c", F.coalesce("c", "f")))
         smallest = named.groupBy("c").agg(F.min("id").alias("component_id"))
-        degree = links.select(F.col("a").alias("f")).union(links.select("b")).groupBy("f").agg(F.count(F.lit(1)).alias("n_links"))
-        named = scratch.table("components", named.join(smallest, "c").join(degree, "f", "left").select("f1", "f2", "copies", "component_id", F.col("f").alias("set_class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+        named = scratch.table("components", named.join(smallest, "c").join(counts, "f", "left").select("f1", "f2", "copies", "component_id", F.col("f").alias("set_class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("n_linked", F.lit(0)) + F.col("copies") - 1).alias("n_linked")))
         scratch.drop("classes", "named")
         # classes with over a 1024th of all documents, fewer than 1024, are sent to all executors
         hot = F.col("copies") * _HOT > documents.count()
         full = documents.where("n > 0")
         here = full.join(F.broadcast(named.where(hot)), ["f1", "f2"])
         rest = full.join(F.broadcast(named.where(hot).select("f1", "f2")), ["f1", "f2"], "left_anti").join(named.where(~hot), ["f1", "f2"])
-        out = here.unionByName(rest).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id", "set_class", "n_links")
-        alone = documents.where("n = 0").select("id", F.lit(0).cast("long"), "id", F.lit(None).cast("long"), F.lit(0).cast("long"))
-        return out.union(alone)
+        out = here.unionByName(rest).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id", "set_class", "n_links", "n_linked")
+        alone = documents.where("n = 0").select("id", F.lit(0).cast("long"), "id", F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"))
+        out = out.union(alone)
+        return out if self.links else out.drop("n_links", "n_linked")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = SHINGLE, hot_keys: int = 65_536, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_class and n_links (verified links of its class) of each row.
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = SHINGLE, hot_keys: int = 65_536, broadcast_rows: int = 1_000_000, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_class, n_links and n_linked of each row: all other classes that link with its class,
+    and all other rows that link with it, those of its own class included. Without ``links`` the last two are left out.
 
     ``hot_keys`` bounds the list of frequent patterns; ``broadcast_rows`` the classes sent to all executors when their
     texts are read again, beyond which that join is shuffled.
     """
     if not 1 <= size <= len(_STEPS):
         raise ValueError(f"shingles of 1 to {len(_STEPS)} words")
-    return _Join(docs, id_col, text_col, percent, size, hot_keys, broadcast_rows).run()
+    return _Join(docs, id_col, text_col, percent, size, hot_keys, broadcast_rows, links).run()

@@ -64,6 +64,13 @@ def jaccard_components(rows):
     return [(len(s), smallest.get(find(i)) if s else rows[i][0]) for i, s in enumerate(sets)]
 
 
+def jaccard_links(texts):
+    """(other sets linked, other texts linked) of each, by all pairs."""
+    sets = [shingle_set(t) for t in texts]
+    like = [[t for t in sets if s and 100 * len(s & t) >= 80 * len(s | t)] for s in sets]
+    return [(len(set(x)) - bool(s), len(x) - bool(s)) for s, x in zip(sets, like)]
+
+
 def repeats(texts, window=35):
     """n_words, n_removed, kept text of each."""
     ws = [words(t) for t in texts]

@@ -276,6 +276,40 @@ def test_short_texts_with_frequent_shingles_do_not_meet(spark):
     assert got.pop(6000) == got.pop(6001) == (6000, 1) and all(c == i and n == 0 for i, (c, n) in got.items())
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_links_within_a_component_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # components of one block and of many
+    rng, texts = random.Random(5), [None, "", "one two", "One TWO"]
+    for g, size in enumerate((4, 60, 12)):  # words, of which near copies change and leave out some
+        base = [f"g{g}w{i}" for i in range((12, 150, 60)[g])]
+        for _ in range(size):
+            words = base[: rng.randrange(len(base) * 3 // 4, len(base) + 1)]
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(1000)}"
+            texts.append(" ".join(words))
+    texts += [texts[20].upper(), texts[20], texts[70] + " "]
+    want = brute.jaccard_links(texts)
+    assert max(n for n, _ in want) > 8 and sum(n > 2 for n, _ in want) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    same([(r.doc_id, r.n_links, r.n_linked) for r in jaccard_join.join(docs).collect()], [(i, *w) for i, w in enumerate(want)])
+    assert jaccard_join.join(docs, links=False).columns == ["doc_id", "n_shingles", "component_id", "set_class"]
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype(np.uint64)) for _ in range(20)]
+    for a, b in ((sets, sets), (sets[:7], sets[7:])):
+        assert jaccard_join.overlaps(a, b, 32).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_a_copy_read_first_leaves_a_class_its_keys(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(30)) for x in "aAbBaAz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    job = jaccard_join._Join(docs, "doc_id", "text", 80, 5, 1024, 1000, True)
+    sets = job.sets().orderBy(F.desc("id")).coalesce(1)  # as where a copy's rows are read apart from the first one's
+    assert all(len(r["keys"]) > 0 for r in job.classes(sets).collect())
+
+
 # 7 toxicity
 def test_folding_and_exceptions():
     assert toxicity.folded("Ѕtup1d ＭＯＲＯＮ!! it's 2024").split() == ["stupid", "moron", "it's", "2024"]
