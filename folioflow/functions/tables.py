@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import html_escape, is_complex_cell, is_numeric_cell, lines, pyre, strip, sub
+from folioflow.functions.text import LINE_END, html_escape, is_complex_cell, is_numeric_cell, lines, pyre, strip, sub
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: lambdas evaluate a whole expression anew wherever it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def cells(line: Column) -> Column:
@@ -55,15 +62,21 @@ def raw_rows(text: Column) -> Column:
     ones the first) and longer ones, whose last cells are joined. Null unless two rows or more have that width."""
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    plain = F.transform(lines(text), lambda l: strip(sub(sub(l, "<[^>]+>", " "), r"\s+", " ")))
+    plain = F.transform(F.filter(F.split(text, LINE_END), lambda l: F.contains(l, F.lit("|"))), lambda l: strip(sub(sub(l, "<[^>]+>", " "), r"\s+", " ")))
     rows = F.filter(F.transform(F.filter(plain, lambda l: F.contains(l, F.lit("|"))), cells), lambda r: F.size(r) >= 2)
-    widths = F.transform(rows, F.size)
-    ranked = F.transform(F.array_distinct(widths), lambda w, i: F.struct(F.size(F.filter(rows, lambda r: F.size(r) == w)).alias("n"), (-i).alias("first"), w.alias("width")))
-    best = F.array_max(ranked)
-    width = best["width"]
+    return let(rows, lambda rows: let(commonest(F.transform(rows, F.size)), lambda best: F.when(best["n"] >= 2, let(fitted(rows, best["width"]), lambda out: F.struct(F.get(out, 0).alias("columns"), F.slice(out, F.lit(2), F.size(out)).alias("rows"))))))
+
+
+def commonest(widths: Column) -> Column:
+    """struct(n, first, width) of the commonest width, of equally common ones the first; null of no widths."""
+    count = lambda of: F.transform(F.array_distinct(of), lambda w, i: F.struct(F.size(F.filter(of, lambda x: x == w)).alias("n"), (-i).alias("first"), w.alias("width")))
+    return F.array_max(let(widths, count))
+
+
+def fitted(rows: Column, width: Column) -> Column:
+    """The rows of a width and longer ones, whose last cells are joined."""
     joined = lambda r: F.concat(F.slice(r, F.lit(1), width - 1), F.array(F.array_join(F.slice(r, width, F.size(r) - width + 1), " ")))
-    fitted = F.transform(F.filter(rows, lambda r: F.size(r) >= width), lambda r: F.when(F.size(r) == width, r).otherwise(joined(r)))
-    return F.when(best["n"] >= 2, F.struct(F.get(fitted, 0).alias("columns"), F.slice(fitted, F.lit(2), F.size(fitted)).alias("rows")))
+    return F.transform(F.filter(rows, lambda r: F.size(r) >= width), lambda r: F.when(F.size(r) == width, r).otherwise(joined(r)))
 
 
 def to_markdown(columns: Column, rows: Column) -> Column:

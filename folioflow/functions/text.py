@@ -22,6 +22,10 @@ BROAD_CITATION = r"\s*[\[［](?=[^\]］]{1,80}(?:\d|\+|[,;，；]))[A-Za-z0-9][A
 SENTENCE_END = r"[.!?。！？]\s*$"
 
 
+#: Java form of all the line ends Python knows.
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+
+
 def pyre(pattern: str, ignore_case: bool = False) -> str:
     return ("(?Uiud)" if ignore_case else "(?Ud)") + pattern
 
@@ -40,7 +44,7 @@ def strip(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without a trailing empty one, at all the line ends Python knows."""
-    parts = F.split(text, "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")
+    parts = F.split(text, LINE_END)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

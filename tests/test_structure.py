@@ -1,6 +1,7 @@
 """Blocks of papers from elements and drawings against small cases."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,11 @@ def test_visual_labels(spark, text, width, want):
 def test_raw_tables(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(tables.raw_rows(F.col("t")).alias("x")).first().x
     assert (got and (got["columns"], got["rows"])) == want
+
+
+def test_tall_raw_tables_are_read_once(spark):
+    text = "\n".join(f"<td>a{i}</td> | <x|y>b{i}" + (" | c" if i % 3 == 0 else " | c | d" if i % 100 == 1 else "") for i in range(1200))
+    want = [[f"a{i}", f"b{i}" + (" c" if i % 3 == 0 else " c d" if i % 100 == 1 else "")] for i in range(1200)]
+    began = time.monotonic()
+    got = spark.createDataFrame([(text,)], "t string").select(tables.raw_rows(F.col("t")).alias("x")).first().x
+    assert (got["columns"], got["rows"]) == (want[0], want[1:]) and time.monotonic() - began < 20
